@@ -17,7 +17,7 @@ from .common import cut
 def _state(edges: DataFrame) -> tuple:
     """What changes if any edge changes."""
     h = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count("*"), F.sum(F.shiftright(h, 32)), F.sum(F.bitwise_xor(F.shiftright(h, 16), h) % 1_000_003)).first())
+    return tuple(edges.agg(F.count("*"), F.sum(F.shiftright(h, 32)), F.sum(F.xxhash64("v", "u") % 1_000_003)).first())
 
 
 def _star(pairs: DataFrame, hubs: DataFrame) -> DataFrame:

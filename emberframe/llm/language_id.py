@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from .common import by_value
 
 BUCKETS, WIDTH, ORDERS = 1 << 14, 16, (1, 2, 3)
-PER_LANGUAGE, EPOCHS, RATE, BATCH = 600, 30, 0.5, 32
+PER_LANGUAGE, STEPS, RATE, BATCH = 600, 800, 2.0, 32
+#: Embeddings move by so much more than the output layer: a feature's share of a mean is small.
+GAIN = 10.0
 TOLERATED, MIN_SCORE = 0.005, 0.5
 PIECE = 1 << 18
 UND = "und"
@@ -89,26 +91,27 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def _trained(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _trained(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, steps: int = STEPS, rate: float = RATE, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Embeddings, output weights and bias after stochastic gradient descent. rows: buckets and their shares."""
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 1.0, (BUCKETS, WIDTH)).astype(np.float32)
     w, b = np.zeros((WIDTH, classes), np.float32), np.zeros(classes, np.float32)
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
-        order = rng.permutation(len(rows))
-        for at in range(0, len(order), BATCH):
-            some = order[at : at + BATCH]
-            x = np.stack([share @ e[buckets] for buckets, share in (rows[i] for i in some)])
-            wrong = _softmax(x @ w + b)
-            wrong[np.arange(len(some)), y[some]] -= 1
-            wrong /= len(some)
-            back = wrong @ w.T
-            w -= rate * (x.T @ wrong)
-            b -= rate * wrong.sum(axis=0)
-            for i, g in zip(some, back, strict=True):
-                buckets, share = rows[i]
-                e[buckets] -= rate * np.outer(share, g) * 10  # a share of a mean is small
+    order = np.empty(0, np.int64)
+    for step in range(steps):
+        if len(order) < BATCH:
+            order = np.r_[order, rng.permutation(len(rows))]
+        some, order = order[:BATCH], order[BATCH:]
+        now = rate * (1 - step / steps)
+        x = np.stack([share @ e[buckets] for buckets, share in (rows[i] for i in some)])
+        wrong = _softmax(x @ w + b)
+        wrong[np.arange(len(some)), y[some]] -= 1
+        wrong /= len(some)
+        back = wrong @ w.T
+        w -= now * (x.T @ wrong)
+        b -= now * wrong.sum(axis=0)
+        for i, g in zip(some, back, strict=True):
+            buckets, share = rows[i]
+            e[buckets] -= now * GAIN * np.outer(share, g)
     return e, w, b
 
 
@@ -151,7 +154,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, tolerated: float
 def _calibrated(z: np.ndarray, y: np.ndarray, tolerated: float) -> tuple[float, float]:
     """The temperature of least log loss, and the lowest threshold that keeps accepted errors within what is tolerated."""
     loss = lambda t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean()
-    temperature = float(min(np.geomspace(0.05, 20, 60), key=loss))
+    temperature = float(min(np.geomspace(0.5, 20, 60), key=loss))
     p = _softmax(z / temperature)
     top, right = p.max(axis=1), p.argmax(axis=1) == y
     order = np.argsort(-top)

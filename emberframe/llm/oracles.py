@@ -92,8 +92,9 @@ OP8 = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 sets AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN [ws[1]] ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS s FROM w),
 n AS (SELECT doc_id, s, len(s)::BIGINT AS n FROM sets),
-pairs AS (SELECT a.doc_id AS u, b.doc_id AS v FROM n a JOIN n b ON a.doc_id < b.doc_id AND a.n > 0 AND b.n > 0 AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
-  AND 180 * len(list_intersect(a.s, b.s)) >= 80 * (a.n + b.n)),
+items AS (SELECT doc_id, n, unnest(s) AS item FROM n),
+pairs AS (SELECT u, v FROM (SELECT a.doc_id AS u, b.doc_id AS v, any_value(a.n + b.n) AS total, count(*) AS n_both FROM items a JOIN items b ON a.item = b.item AND a.doc_id < b.doc_id
+  AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id) WHERE 100 * n_both >= 80 * (total - n_both)),
 edges AS (SELECT u, v FROM pairs UNION SELECT v, u FROM pairs),
 reach(u, v) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.u, e.v FROM reach r JOIN edges e ON r.v = e.u)
 SELECT doc_id, n AS n_shingles, c AS component_id, c = doc_id AS kept FROM n JOIN (SELECT u, min(v) AS c FROM reach GROUP BY u) ON u = doc_id

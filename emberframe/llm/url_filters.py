@@ -25,8 +25,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def _rest(url: Column) -> Column:
     """What follows the first ://, else an empty text."""
-    at = F.coalesce(F.instr(url, "://"), F.lit(0))
-    return F.when(at > 0, F.substr(url, at + 3)).otherwise("")
+    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://(.*)$", 1)
 
 
 def host_of(url: Column) -> Column:
@@ -39,22 +38,20 @@ def path_of(url: Column) -> Column:
 
 def node_of(url: Column) -> Column:
     """The url as a node of the graph: scheme and host in lower case, no fragment, an empty path as /; null without ://."""
-    rest = F.regexp_extract(_rest(url), r"^[^/?#]*([^#]*)", 1)
-    tail = F.when(F.substr(rest, F.lit(1), F.lit(1)) == "/", rest).otherwise(F.concat(F.lit("/"), rest))
-    scheme = F.translate(F.substring_index(url, "://", 1), _UPPER, _LOWER)
-    return F.when(F.instr(url, "://") > 0, F.concat(scheme, F.lit("://"), host_of(url), tail))
+    top = F.translate(F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), _UPPER, _LOWER)
+    rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
+    return F.when(top != "", F.concat(top, F.when(rest.startswith("/"), "").otherwise("/"), rest))
 
 
 def absolute(target: Column, base: Column) -> Column:
     """A link's target seen from base."""
-    scheme = F.concat(F.substring_index(base, "://", 1), F.lit(":"))
-    top = F.concat(scheme, F.lit("//"), host_of(base))
-    folder = F.regexp_extract(path_of(base), r"^(.*/)?", 0)
+    own = F.regexp_extract(target, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//.*", 0)
+    scheme = F.regexp_extract(base, r"^[^:]*:", 0)
     return (
-        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), target)
-        .when(target.startswith("//"), F.concat(scheme, target))
-        .when(target.startswith("/"), F.concat(top, target))
-        .otherwise(F.concat(top, F.when(folder == "", "/").otherwise(folder), target))
+        F.when(own.startswith("//"), F.concat(scheme, own))
+        .when(own != "", own)
+        .when(target.startswith("/"), F.concat(F.regexp_extract(base, r"^[^:]*://[^/?#]*", 0), target))
+        .otherwise(F.concat(F.regexp_replace(F.regexp_extract(base, r"^[^:]*://[^/?#]*(?:/(?:[^?#]*/)?)?", 0), "([^/])$", "$1/"), target))
     )
 
 
@@ -68,16 +65,16 @@ def page_links(pages: DataFrame) -> DataFrame:
     canonical = F.when(F.col("tag").rlike(rf"(?is)^<link\b.*\brel{quoted}canonical\b"), F.regexp_extract("tag", rf"""(?is)\bhref{quoted}([^"'\s>]+)""", 1))
     refresh = F.when(F.col("tag").rlike(rf"(?is)^<meta\b.*\bhttp-equiv{quoted}refresh\b"), F.regexp_extract("tag", r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>]+)""", 1))
     links = tags.select("url", F.coalesce(canonical, refresh).alias("target")).where("target <> ''")
-    target = F.replace("target", F.lit("&amp;"), F.lit("&"))
-    return links.select(node_of(F.col("url")).alias("u"), node_of(absolute(target, F.col("url"))).alias("v")).where("u <> v")
+    links = links.select("url", F.replace("target", F.lit("&amp;"), F.lit("&")).alias("target")).select("url", absolute(F.col("target"), F.col("url")).alias("target"))
+    return links.select(node_of(F.col("url")).alias("u"), node_of(F.col("target")).alias("v")).where("u <> v")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """node, rule, action for the nodes of urls(node) that a rule(action, rule) fits."""
-    host, path = host_of(F.col("node")), path_of(F.col("node"))
     labels = F.split("host", r"\.", -1)
     ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    parts = urls.select("node", host.alias("host"), path.alias("path")).select("node", "path", F.explode(ends).alias("end"))
+    parts = urls.select("node", host_of(F.col("node")).alias("host"), path_of(F.col("node")).alias("path"))
+    parts = parts.select("node", "path", F.explode(ends).alias("end"))
     told = rules.select(
         "action", "rule", F.translate(F.substring_index("rule", "/", 1), _UPPER, _LOWER).alias("end"),
         F.regexp_extract("rule", r"^[^/]*(.*)", 1).alias("start"),

@@ -88,15 +88,17 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("time", F.try_to_timestamp("time"))
 
 
-def canonical(url: Column) -> Column:
-    """Scheme dropped, host lower-cased without www. and default port, no fragment, parameters sorted without tracking ones, no slash at the end."""
-    rest = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^#]*)", 1)
-    host = F.regexp_replace(F.lower(F.regexp_extract(rest, r"^[^/?]*", 0)), r"^www\.|:(?:80|443)$", "")
-    path = F.regexp_replace(F.regexp_extract(rest, r"^[^/?]*([^?]*)", 1), r"/+$", "")
-    query = F.split(F.regexp_extract(rest, r"\?(.*)$", 1), "&", -1)
+def canonical(rows: DataFrame) -> DataFrame:
+    """Adds canonical_url to rows(url): scheme dropped, host lower-cased without www. and default port, no fragment,
+    parameters sorted without tracking ones, no slash at the end."""
+    rest = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://([^#]*)", 1)
+    host = F.regexp_replace(F.lower(F.regexp_extract("rest", r"^[^/?]*", 0)), r"^www\.|:(?:80|443)$", "")
+    path = F.regexp_replace(F.regexp_extract("rest", r"^[^/?]*([^?]*)", 1), r"/+$", "")
+    query = F.split(F.regexp_extract("rest", r"\?(.*)$", 1), "&", -1)
     kept = F.sort_array(F.filter(query, lambda p: (p != "") & ~p.rlike(r"^(?:utm_[a-z]+|ref|fbclid|gclid)=")))
-    tail = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
-    return F.when(host != "", F.concat(host, path, tail))
+    parts = rows.withColumn("rest", rest).select(*rows.columns, host.alias("host"), path.alias("path"), F.array_join(kept, "&").alias("query"))
+    tail = F.when(F.col("query") != "", F.concat(F.lit("?"), "query")).otherwise("")
+    return parts.select(*rows.columns, F.when(F.col("host") != "", F.concat("host", "path", tail)).alias("canonical_url"))
 
 
 def _weak(tag: Column) -> Column:
@@ -124,7 +126,7 @@ def resolve(records: DataFrame, block: str = "day") -> DataFrame:
     to be chosen so that a url's records in one block fit a task.
     """
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    rows = records.select("record_id", "kind", canonical(F.col("url")).alias("canonical_url"), "time", "status", F.coalesce("headers", empty).alias("headers"))
+    rows = canonical(records.select("record_id", "kind", "url", "time", "status", F.coalesce("headers", empty).alias("headers"))).drop("url")
     rows = rows.withColumn("block", F.date_trunc(block, "time"))
     full = (F.col("kind") == "response") & (F.coalesce("status", F.lit(200)) == 200) & F.col("time").isNotNull()
     response = F.struct("time", "record_id", "headers")
@@ -137,7 +139,6 @@ def resolve(records: DataFrame, block: str = "day") -> DataFrame:
     within = Window.partitionBy("canonical_url", "block").orderBy("time", F.col("kind") == "revisit", "record_id").rowsBetween(Window.unboundedPreceding, 0)
     inner = rows.withColumn("here", F.last("found", ignorenulls=True).over(within)).where(F.col("kind") == "revisit")
     out = inner.join(starts, ["canonical_url", "block"], "left")
-    # inside a block the record before may be of the same time: earlier means a smaller time
     hit = F.coalesce("here", "from_before")
     hit = F.when(F.col("canonical_url").isNotNull() & F.col("time").isNotNull(), hit)
     out = out.select("record_id", "canonical_url", "time", "headers", hit.alias("hit"))

@@ -28,7 +28,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def series(seed: int, n: int) -> np.ndarray:
     """n pseudo-random 64-bit values."""
-    return mixed((np.arange(1, n + 1, dtype=U64) + U64(seed) * U64(0x632BE59BD9B4E019)) * U64(0x9E3779B97F4A7C15))
+    start = np.full(1, seed, U64) * U64(0x632BE59BD9B4E019)
+    return mixed((np.arange(1, n + 1, dtype=U64) + start) * U64(0x9E3779B97F4A7C15))
 
 
 class Hasher:
