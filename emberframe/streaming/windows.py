@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 def windowed_counts(events: DataFrame, every: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """window_start, event_type, n, total; the same for batch and stream, where rows later than late are dropped."""
-    seen = events.withWatermark("ts", late) if events.isStreaming else events
+    # a stream's event time must have a zone
+    seen = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     out = seen.groupBy(F.window("ts", every).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    return out.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
+    return out.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "total")
 
 
 def once_per_id(events: DataFrame, late: str = "2 hours") -> DataFrame:

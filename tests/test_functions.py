@@ -58,7 +58,7 @@ def test_validity():
     assert shapes.reason([shell, hole]) == "valid"
     assert shapes.assigned([shell, hole]) == [-1, 0]
     assert shapes.reason([hole]) == "no_shell"
-    assert shapes.reason([[[0, 0], [2, 2], [3, 0], [0, 2], [0, 0]]]) == "self_intersection"
+    assert shapes.reason([[[0, 0], [4, 4], [4, 0], [0, 2], [0, 0]]]) == "self_intersection"
     assert shapes.reason([[[0, 0], [1, 1]]]) == "too_few_positions"
     assert shapes.reason([[[0, 0], [0, 9], [9, 9], [9, 0]]]) == "unclosed"
     assert shapes.reason([[[0, 0], [1, 1], [2, 2], [0, 0]]]) == "zero_area"
