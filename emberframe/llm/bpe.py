@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -81,14 +82,35 @@ class BytePair:
         k = 2
         while True:
             a, b = max(0, len(left) - k), min(len(right), k)
-            window = self.inner(b"".join(self.tokens[t] for t in left[a:] + right[:b]), k)
+            window = self.merged(b"".join(self.tokens[t] for t in left[a:] + right[:b]))
             if (a == 0 or self.stays(left[a - 1], window[0])) and (b == len(right) or self.stays(window[-1], right[b])):
                 return left[:a] + window + right[b:]
             k *= 2
 
-    def inner(self, piece: bytes, k: int) -> list[int]:
-        """A window's encoding: a leaf while it is short, else by halves once more (its own joins use smaller windows)."""
-        return self.leaf(piece) if len(piece) <= 8 * LEAF or k <= 4 else self.tree(piece)
+    def merged(self, piece: bytes) -> list[int]:
+        """As leaf, with a heap of pairs over a linked list: for windows of any length."""
+        if len(piece) <= 4 * LEAF:
+            return self.leaf(piece)
+        n, ranks = len(piece), self.ranks
+        part: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, size = heapq.heappop(heap)
+            j = after[i] if part[i] is not None else n
+            if j >= n or len(part[i]) + len(part[j]) != size:
+                continue  # one of the two has been merged since
+            part[i], part[j] = part[i] + part[j], None
+            after[i] = after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            for k in (before[i], i):
+                if k >= 0 and after[k] < n:
+                    both = part[k] + part[after[k]]
+                    if (r := ranks.get(both)) is not None:
+                        heapq.heappush(heap, (r, k, len(both)))
+        return [ranks[p] for p in part if p is not None]
 
     def tree(self, piece: bytes) -> list[int]:
         if len(piece) <= LEAF:

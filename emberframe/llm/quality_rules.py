@@ -3,7 +3,8 @@
 Cross-document part: every line with a word is normalised (A-Z and other letters lower-cased, runs of white space made
 one space) and hashed. For each host and line the distinct documents that hold it are counted. Copies and near copies
 of one document are versions of it and count once: versions share their smallest line hash with a probability that is
-the overlap of their lines, so that hash stands for the document. A line in more than
+the overlap of their lines, so that hash stands for the document (a family of n near copies counts as about n times what
+they differ in). A line in more than
 ``max(min_documents, share * documents of the host)`` documents is removed; a document that keeps less than
 ``least_left`` of its words is depleted and rejected. All work is DataFrame operations.
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, trimmed, word_array
 
-MIN_DOCUMENTS, SHARE, LEAST_LEFT = 20, 0.02, 0.2
+MIN_DOCUMENTS, SHARE, LEAST_LEFT = 20, 0.1, 0.2
 #: Fixed value: the characters that count as symbols.
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -42,14 +43,15 @@ def base_counts(docs: DataFrame) -> DataFrame:
     rows = rows.select("*", F.when(F.col("n") >= 3, F.sort_array(windows)).otherwise(none).alias("sorted"))
     again = F.filter("sorted", lambda x, i: (x["h"] == F.get("sorted", i - 1)["h"]) | (x["h"] == F.get("sorted", i + 1)["h"]))
     covered = F.array_distinct(F.flatten(F.transform(again, lambda x: F.array(x["p"], x["p"] + 1, x["p"] + 2))))
-    counts = rows.select(
-        *docs.columns,
+    # a generator, as filters on its output are not pushed below it: they would evaluate the sorted windows once an element
+    counts = F.struct(
         F.col("n").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(covered).cast("long").alias("n_repeat_words"),
     )
+    counts = rows.select(*docs.columns, F.inline(F.array(counts)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return counts.withColumn("base_failed", failed)
 
