@@ -3,18 +3,21 @@
 A document's set holds its distinct runs of ``shingle`` words (A-Z lower-cased); with fewer words the whole sequence is
 its one member; without words the set is empty and linked with nothing. Two documents are linked if
 100 * |intersection| >= percent * |union|. Every link is confirmed on the full sets; sets of 64-bit hashes of whole
-shingles stand for the sets. Signatures have 128 minima of a*x + b modulo 2^32 (a odd); 32 bands of 4 minima miss a pair
-of similarity 0.8 with a probability below 1e-7.
+shingles stand for the sets. Signatures have 256 minima of a*x + b modulo 2^32 (a odd). The first 128 make 32 bands of 4,
+which miss a pair of similarity 0.8 with a probability below 1e-7; all serve to verify candidates.
 
 Documents with the same set are one class; only its smallest id goes on. Within a bucket nothing is paired in full:
 
 1. Each member of a bucket is paired with the smallest id of it. Pairs whose signatures agree enough are confirmed on
    the full sets; confirmed links form components by alternating large-star and small-star.
-2. Buckets whose members are still in several components are the rest: there members of different components are
-   compared by signature, in tiles of at most 2 * TILE members, and what may be linked is confirmed in the same way.
+2. Buckets whose members are still in several components are the rest. There members of different components are
+   compared by signature, in tiles of at most two blocks of about TILE; components that may be linked are tied into
+   clusters. Within a cluster all members of different components whose signatures agree enough are compared by their
+   full sets, again in tiles; only the links that connect components are given out.
 
-So every pair that shares a bucket is linked, known to be connected, or rejected; no bucket or partner is capped. Tiles
-are dealt to tasks by bucket and tile, so a bucket with a third of all rows is no one task's work.
+So every pair that shares a bucket is linked, known to be connected, or rejected on its signature or full sets; no
+bucket or partner is capped and no list of pairs is written. Tiles are dealt to tasks by key and tile, so a bucket with
+a third of all rows is no one task's work.
 
 Defined results: a null text has an empty set. Rows that repeat a doc_id are one node. A row without doc_id has no
 component and is kept. An empty table gives no rows. Further columns pass through ``deduplicate``.
@@ -23,7 +26,7 @@ component and is kept. An empty table gives no rows. Further columns pass throug
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +38,10 @@ from .components import components
 from .words import U64, Hasher, mixed, series, tokenised, windows
 
 SHINGLE, PERCENT = 5, 80
-MINIMA, ROWS = 128, 4
-BANDS = MINIMA // ROWS
-TILE = 256
-#: Signatures that agree by less than this part, at a similarity of 0.8, lie over 5 deviations off.
-AGREE = 0.60
+MINIMA, ROWS, BANDS = 256, 4, 32
+TILE = 2048
+#: At a similarity of 0.8 signatures of 256 minima agree by less than this part once in 30,000 times (4 deviations).
+AGREE = 0.70
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SIGNED = "row_id long, doc_id long, n_shingles long, digest binary, agree binary, bands array<long>"
 
@@ -70,7 +72,7 @@ class _Minima:
 
 def bands_of(minima: np.ndarray) -> np.ndarray:
     """One 64-bit value for each band."""
-    rows = minima.reshape(BANDS, ROWS).astype(U64)
+    rows = minima[: BANDS * ROWS].reshape(BANDS, ROWS).astype(U64)
     out = mixed(np.arange(1, BANDS + 1, dtype=U64))
     for k in range(ROWS):
         out = mixed(out ^ rows[:, k])
@@ -84,7 +86,7 @@ def _sets(batch: pa.RecordBatch, text_at: int, hashers: list[Hasher], size: int)
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """row_id (an id or null), doc_id, n_shingles, digest of the set, agree (8 bits of each minimum), bands."""
+    """row_id (an id or null), doc_id, n_shingles, digest of the set, agree (16 bits of each minimum), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashers, minima = [Hasher(5)], _Minima()
@@ -96,7 +98,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                     m = minima.of(items)
                     n.append(len(items))
                     digest.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest())
-                    agree.append(m.astype(np.uint8).tobytes())
+                    agree.append(m.astype(np.uint16).tobytes())
                     bands.append(bands_of(m) if len(items) else np.empty(0, U64))
                 flat = pa.array(np.concatenate(bands).view(np.int64) if bands else [], pa.int64())
                 ends = np.cumsum([0, *(len(b) for b in bands)]).astype(np.int32)
@@ -107,8 +109,8 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, SIGNED)
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (u, v) of documents that are linked, by their full sets."""
+def _items(docs: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
+    """id, items: the full sets of the documents asked for, as packed sorted hashes."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashers = [Hasher(5)]
@@ -118,6 +120,13 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) ->
                 items = [x.tobytes() for _, x in _sets(batch, 1, hashers, shingle)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary())], names=["id", "items"])
 
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(asked, "doc_id", "left_semi")
+    return texts.mapInArrow(hashed, "id long, items binary").dropDuplicates(["id"])
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (u, v) of documents that are linked, by their full sets."""
+
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
@@ -127,9 +136,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) ->
                 ok.append(100 * both >= percent * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(asked, "doc_id", "left_semi")
-    items = written(texts.mapInArrow(hashed, "id long, items binary").dropDuplicates(["id"]), "minhash-sets")
+    items = written(_items(docs, pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), shingle), "minhash-sets")
     left = items.select(F.col("id").alias("u"), F.col("items").alias("x"))
     right = items.select(F.col("id").alias("v"), F.col("items").alias("y"))
     full = pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y")
@@ -145,7 +152,7 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, MINIMA) for i in (2, 3))
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, MINIMA) for i in (2, 3))
             ok = (a == b).mean(axis=1) >= AGREE
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(ok))
 
@@ -153,54 +160,141 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").where(fit).select("u", "v", "au", "av").mapInArrow(run, "u long, v long")
 
 
-def _rest_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """u, v of different components that share a bucket and may be linked; members(bucket, doc_id, component, n_shingles, agree)."""
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("m"))
-    rows = members.join(sizes, "bucket").withColumn("blocks", F.ceil(F.col("m") / TILE).cast("int"))
+class _Groups:
+    """Union-find over the components in a tile."""
+
+    def __init__(self, labels: np.ndarray) -> None:
+        self.names, self.own = np.unique(labels, return_inverse=True)
+        self.root = np.arange(len(self.names))
+
+    def of(self) -> np.ndarray:
+        """The current group of each member."""
+        return self.root[self.own]
+
+    def merge(self, i: int, j: int) -> None:
+        a, b = self.root[self.own[i]], self.root[self.own[j]]
+        self.root[self.root == b] = a
+
+
+def _tiled(members: DataFrame, key: str, solve: Callable[[dict, np.ndarray, np.ndarray], Iterator[tuple[int, int]]]) -> DataFrame:
+    """u, v: what solve gives for each tile of members with the same key.
+
+    Members are dealt to blocks of about TILE; a tile holds two blocks, or one, so every two members meet in one tile.
+    solve gets the columns of a tile, and the places of its left and right block (the same ones for one block).
+    """
+    sizes = members.groupBy(key).agg(F.count("*").alias("m"))
+    rows = members.join(sizes, key).withColumn("blocks", F.ceil(F.col("m") / TILE).cast("int")).drop("m")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc_id", "component", "n_shingles", "agree")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    rows = rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other")
+    names = [key, "low", "high", "own", *(c for c in members.columns if c != key)]
 
     def tile(group: list[tuple]) -> Iterator[tuple[int, int]]:
-        _, low, high, own, ids, comp, n, agree = zip(*group, strict=True)
-        ids, comp, n, own = (np.array(x) for x in (ids, comp, n, own))
-        sig = np.frombuffer(b"".join(agree), np.uint8).reshape(-1, MINIMA)
-        left = np.flatnonzero(own == low[0])
-        right = left if low[0] == high[0] else np.flatnonzero(own == high[0])
-        for i in left:
-            fit = (comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))
-            if low[0] == high[0]:
-                fit &= ids[right] > ids[i]
-            js = right[fit]
-            if len(js):
-                for j in js[(sig[js] == sig[i]).mean(axis=1) >= AGREE]:
-                    yield min(ids[i], ids[j]), max(ids[i], ids[j])
+        columns = dict(zip(names, zip(*group, strict=True), strict=True))
+        own, low, high = np.array(columns["own"]), columns["low"][0], columns["high"][0]
+        yield from solve(columns, np.flatnonzero(own == low), np.flatnonzero(own == high))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group = None, []
+        found: set = set()
 
-        def out(pairs: set) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"u": pa.array([p[0] for p in pairs], pa.int64()), "v": pa.array([p[1] for p in pairs], pa.int64())})
+        def out() -> pa.RecordBatch:
+            both = sorted(found)
+            return pa.RecordBatch.from_pydict({"u": pa.array([p[0] for p in both], pa.int64()), "v": pa.array([p[1] for p in both], pa.int64())})
 
-        found: set = set()
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[:3] != now:
                     if len(group) > 1:
                         found.update(tile(group))
                     if len(found) > 100_000:
-                        yield out(found)
+                        yield out()
                         found = set()
                     now, group = row[:3], []
                 group.append(row)
         if len(group) > 1:
             found.update(tile(group))
-        yield out(found)
+        yield out()
 
-    dealt = rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    dealt = rows.select(*names).repartition(key, "low", "high").sortWithinPartitions(key, "low", "high")
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
+def _alike(columns: dict, percent: int) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Given a member and others, those whose sizes and signatures allow a link."""
+    n = np.array(columns["n_shingles"])
+    sig = np.frombuffer(b"".join(columns["agree"]), np.uint16).reshape(-1, MINIMA)
+
+    def of(i: int, js: np.ndarray) -> np.ndarray:
+        js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
+        return js[(sig[js] == sig[i]).mean(axis=1) >= AGREE] if len(js) else js
+
+    return of
+
+
+def _candidates(members: DataFrame, percent: int) -> DataFrame:
+    """u, v: ties between components that share a bucket and may be linked, as few as connect them.
+
+    members(bucket, doc_id, component, n_shingles, agree).
+    """
+
+    def solve(columns: dict, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
+        ids, groups, alike = columns["doc_id"], _Groups(np.array(columns["component"])), _alike(columns, percent)
+        for i in left:
+            while True:
+                group = groups.of()
+                js = alike(i, right[group[right] != group[i]])
+                if not len(js):
+                    break
+                for g in np.unique(group[js], return_index=True)[1]:
+                    groups.merge(i, js[g])
+                    yield ids[i], ids[js[g]]
+
+    return _tiled(members, "bucket", solve)
+
+
+def _linked(members: DataFrame, percent: int) -> DataFrame:
+    """u, v: confirmed links between components in a cluster, as few as connect what is linked.
+
+    members(cluster, doc_id, component, n_shingles, agree, items).
+    """
+
+    def solve(columns: dict, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
+        ids, groups, alike = columns["doc_id"], _Groups(np.array(columns["component"])), _alike(columns, percent)
+        sets = [np.frombuffer(x, U64) for x in columns["items"]]
+        for i in left:
+            group = groups.of()
+            js = alike(i, right[group[right] != group[i]])
+            for at in range(0, len(js), 256):
+                some = js[at : at + 256]
+                sizes = np.array([len(sets[j]) for j in some])
+                every = np.concatenate([sets[j] for j in some])
+                place = np.minimum(np.searchsorted(sets[i], every), len(sets[i]) - 1)
+                both = np.add.reduceat(sets[i][place] == every, np.r_[0, np.cumsum(sizes)[:-1]])
+                for j in some[100 * both >= percent * (sizes + len(sets[i]) - both)]:
+                    if groups.of()[j] != groups.of()[i]:
+                        groups.merge(i, j)
+                        yield ids[i], ids[j]
+
+    return _tiled(members, "cluster", solve)
+
+
+def _settled(docs: DataFrame, nodes: DataFrame, links: DataFrame, member: DataFrame, ties: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The final components, once every candidate between those of member is confirmed or rejected.
+
+    Components and ties make clusters; links can only lie within one. A document is in one cluster, so its set is sent
+    once per tile, and candidates are confirmed where they are found instead of being listed.
+    """
+    clusters = cut(components(links.union(ties)).withColumnsRenamed({"node": "doc_id", "component": "cluster"}))
+    placed = clusters.join(member, clusters.doc_id == member.node, "left").select("doc_id", "cluster", F.coalesce("component", "doc_id").alias("component"))
+    several = placed.groupBy("cluster").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("cluster")
+    rest = placed.join(several, "cluster", "left_semi")
+    items = _items(docs, rest.select("doc_id"), shingle).withColumnRenamed("id", "doc_id")
+    full = rest.join(nodes.select("doc_id", "n_shingles", "agree"), "doc_id").join(items, "doc_id")
+    more = cut(_linked(full.select("cluster", "doc_id", "component", "n_shingles", "agree", "items"), percent))
+    return member if more.isEmpty() else components(links.union(more))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     signed = written(signatures(docs, shingle), "minhash-signatures")
@@ -210,19 +304,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     held = nodes.select("doc_id", F.explode("bands").alias("bucket"))
     hubs = held.groupBy("bucket").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("last")).where("u < last").drop("last")
     pairs = held.join(hubs, "bucket").where("u <> doc_id").select("u", F.col("doc_id").alias("v")).distinct()
-    first = cut(_agreeing(pairs, nodes, percent))
-    links = cut(_confirmed(docs, first, shingle, percent))
+    links = cut(_confirmed(docs, cut(_agreeing(pairs, nodes, percent)), shingle, percent))
     member = cut(components(links))
     # buckets that still hold several components
     placed = held.join(member, held.doc_id == member.node, "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed_up = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
     rest = placed.join(mixed_up, "bucket").join(nodes.select("doc_id", "n_shingles", "agree"), "doc_id")
-    more = _rest_pairs(rest.select("bucket", "doc_id", "component", "n_shingles", "agree"), percent)
-    more = cut(more.join(first, ["u", "v"], "left_anti"))
-    if not more.isEmpty():
-        extra = cut(_confirmed(docs, more, shingle, percent))
-        if not extra.isEmpty():
-            member = components(links.union(extra))
+    ties = cut(_candidates(rest.select("bucket", "doc_id", "component", "n_shingles", "agree"), percent))
+    if not ties.isEmpty():
+        member = _settled(docs, nodes, links, member, ties, shingle, percent)
     found = classes.join(member, classes.rep == member.node, "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = signed.join(found, "digest", "left")
     alone = F.col("n_shingles") == 0
