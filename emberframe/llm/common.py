@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: The white space that parts words, as a Java character class and as plain characters.
 SPACE = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
+#: Bits of a bitmap of keys, as a power of two.
+MARKS = 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +69,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def narrowed(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose key may be among ids (one column); a semi join must follow, as others may pass too.
+
+    Keys are looked up in a bitmap of 2^MARKS bits, at most 4 MB however many ids there are, so it may be broadcast. With
+    few ids almost all other rows are dropped before they are shuffled; with very many ids all pass.
+    """
+    place = lambda c: F.xxhash64(c).bitwiseAND((1 << MARKS) - 1)
+    marks = ids.select(place(ids[ids.columns[0]]).alias("__at")).withColumn("__part", F.shiftright("__at", 15)).repartition("__part")
+    marks = marks.groupBy("__part").agg(F.bitmap_construct_agg(F.col("__at").bitwiseAND(32767)).alias("__bits"))
+    found = rows.withColumn("__at", place(rows[key])).withColumn("__part", F.shiftright("__at", 15)).join(F.broadcast(marks), "__part")
+    byte = F.conv(F.hex(F.expr("substring(__bits, int((__at & 32767) div 8) + 1, 1)")), 16, 10).cast("int")
+    bit = F.expr("shiftleft(1, int(__at & 7))")
+    return found.where(byte.bitwiseAND(bit) != 0).select(*rows.columns)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

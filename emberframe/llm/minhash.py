@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, cut, written
+from .common import by_value, cut, narrowed, written
 from .components import components
 from .words import U64, Hasher, mixed, series, tokenised, windows
 
@@ -41,6 +41,7 @@ SHINGLE, PERCENT = 5, 80
 MINIMA, ROWS, BANDS = 256, 4, 32
 TILE = 2048
 #: At a similarity of 0.8 signatures of 256 minima agree by less than this part once in 30,000 times (4 deviations).
+#: Only 8 bits of each minimum are held: minima that differ agree in them once in 256 times, which loses no link.
 AGREE = 0.70
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SIGNED = "row_id long, doc_id long, n_shingles long, digest binary, agree binary, bands array<long>"
@@ -86,7 +87,7 @@ def _sets(batch: pa.RecordBatch, text_at: int, hashers: list[Hasher], size: int)
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """row_id (an id or null), doc_id, n_shingles, digest of the set, agree (16 bits of each minimum), bands."""
+    """row_id (an id or null), doc_id, n_shingles, digest of the set, agree (8 bits of each minimum), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashers, minima = [Hasher(5)], _Minima()
@@ -98,7 +99,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                     m = minima.of(items)
                     n.append(len(items))
                     digest.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest())
-                    agree.append(m.astype(np.uint16).tobytes())
+                    agree.append(m.astype(np.uint8).tobytes())
                     bands.append(bands_of(m) if len(items) else np.empty(0, U64))
                 flat = pa.array(np.concatenate(bands).view(np.int64) if bands else [], pa.int64())
                 ends = np.cumsum([0, *(len(b) for b in bands)]).astype(np.int32)
@@ -120,7 +121,7 @@ def _items(docs: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
                 items = [x.tobytes() for _, x in _sets(batch, 1, hashers, shingle)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary())], names=["id", "items"])
 
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(asked, "doc_id", "left_semi")
+    texts = narrowed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", asked).join(asked, "doc_id", "left_semi")
     return texts.mapInArrow(hashed, "id long, items binary").dropDuplicates(["id"])
 
 
@@ -152,7 +153,7 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, MINIMA) for i in (2, 3))
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, MINIMA) for i in (2, 3))
             ok = (a == b).mean(axis=1) >= AGREE
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(ok))
 
@@ -223,7 +224,7 @@ def _tiled(members: DataFrame, key: str, solve: Callable[[dict, np.ndarray, np.n
 def _alike(columns: dict, percent: int) -> Callable[[int, np.ndarray], np.ndarray]:
     """Given a member and others, those whose sizes and signatures allow a link."""
     n = np.array(columns["n_shingles"])
-    sig = np.frombuffer(b"".join(columns["agree"]), np.uint16).reshape(-1, MINIMA)
+    sig = np.frombuffer(b"".join(columns["agree"]), np.uint8).reshape(-1, MINIMA)
 
     def of(i: int, js: np.ndarray) -> np.ndarray:
         js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
@@ -279,7 +280,7 @@ def _linked(members: DataFrame, percent: int) -> DataFrame:
     return _tiled(members, "cluster", solve)
 
 
-def _settled(docs: DataFrame, nodes: DataFrame, links: DataFrame, member: DataFrame, ties: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _settled(docs: DataFrame, near: DataFrame, links: DataFrame, member: DataFrame, ties: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The final components, once every candidate between those of member is confirmed or rejected.
 
     Components and ties make clusters; links can only lie within one. A document is in one cluster, so its set is sent
@@ -288,9 +289,9 @@ def _settled(docs: DataFrame, nodes: DataFrame, links: DataFrame, member: DataFr
     clusters = cut(components(links.union(ties)).withColumnsRenamed({"node": "doc_id", "component": "cluster"}))
     placed = clusters.join(member, clusters.doc_id == member.node, "left").select("doc_id", "cluster", F.coalesce("component", "doc_id").alias("component"))
     several = placed.groupBy("cluster").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("cluster")
-    rest = placed.join(several, "cluster", "left_semi")
+    rest = cut(placed.join(several, "cluster", "left_semi"))
     items = _items(docs, rest.select("doc_id"), shingle).withColumnRenamed("id", "doc_id")
-    full = rest.join(nodes.select("doc_id", "n_shingles", "agree"), "doc_id").join(items, "doc_id")
+    full = rest.join(near, "doc_id").join(items, "doc_id")
     more = cut(_linked(full.select("cluster", "doc_id", "component", "n_shingles", "agree", "items"), percent))
     return member if more.isEmpty() else components(links.union(more))
 
@@ -299,20 +300,26 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     signed = written(signatures(docs, shingle), "minhash-signatures")
     known = signed.where("row_id is not null and n_shingles > 0")
+    # documents of one digest have the same set, so the same signature
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    nodes = known.join(classes, (known.digest == classes.digest) & (known.doc_id == classes.rep), "left_semi").select("doc_id", "n_shingles", "agree", "bands")
+    firsts = (F.first(c).alias(c) for c in ("n_shingles", "agree", "bands"))
+    nodes = written(known.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *firsts).drop("digest"), "minhash-nodes")
     held = nodes.select("doc_id", F.explode("bands").alias("bucket"))
-    hubs = held.groupBy("bucket").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("last")).where("u < last").drop("last")
-    pairs = held.join(hubs, "bucket").where("u <> doc_id").select("u", F.col("doc_id").alias("v")).distinct()
-    links = cut(_confirmed(docs, cut(_agreeing(pairs, nodes, percent)), shingle, percent))
+    hubs = cut(held.groupBy("bucket").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("last")).where("u < last").drop("last"))
+    # almost all buckets hold one document: what follows reads only the others
+    shared = cut(narrowed(held, "bucket", hubs.select("bucket")).join(hubs, "bucket"))
+    asked = shared.select("doc_id").distinct()
+    near = written(narrowed(nodes.select("doc_id", "n_shingles", "agree"), "doc_id", asked).join(asked, "doc_id", "left_semi"), "minhash-near")
+    pairs = shared.where("u <> doc_id").select("u", F.col("doc_id").alias("v")).distinct()
+    links = cut(_confirmed(docs, cut(_agreeing(pairs, near, percent)), shingle, percent))
     member = cut(components(links))
     # buckets that still hold several components
-    placed = held.join(member, held.doc_id == member.node, "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    placed = shared.join(member, shared.doc_id == member.node, "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed_up = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
-    rest = placed.join(mixed_up, "bucket").join(nodes.select("doc_id", "n_shingles", "agree"), "doc_id")
+    rest = placed.join(mixed_up, "bucket").join(near, "doc_id")
     ties = cut(_candidates(rest.select("bucket", "doc_id", "component", "n_shingles", "agree"), percent))
     if not ties.isEmpty():
-        member = _settled(docs, nodes, links, member, ties, shingle, percent)
+        member = _settled(docs, near, links, member, ties, shingle, percent)
     found = classes.join(member, classes.rep == member.node, "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = signed.join(found, "digest", "left")
     alone = F.col("n_shingles") == 0
