@@ -20,7 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import by_value
 
-LEAF, CACHED, LONGEST_CACHED = 32, 300_000, 64
+LEAF, CACHED, LONGEST_CACHED = 32, 400_000, 64
+#: Texts up to so many characters are split at once, longer ones in runs of so many pieces. NONE is above every rank.
+WHOLE, RUN, NONE = 1 << 20, 50_000, 1 << 62
 
 
 class BytePair:
@@ -39,7 +41,9 @@ class BytePair:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.tokens = {i: t for t, i in ranks.items()}
-        self.cache: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.ids: dict[str, tuple[int, ...]] = {}
+        self.told: dict[str, str] = {}
+        self.by_text = {str(i): t for t, i in ranks.items()}
         self.fits: dict[tuple[int, int], bool] = {}
 
     @classmethod
@@ -52,19 +56,20 @@ class BytePair:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        ranks, parts = self.ranks, [piece[i : i + 1] for i in range(len(piece))]
-        pairs = [ranks.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
+        get, parts = self.ranks.get, [piece[i : i + 1] for i in range(len(piece))]
+        pairs = [get(a + b, NONE) for a, b in zip(parts, parts[1:], strict=False)]
         while pairs:
-            best, at = min(((r, i) for i, r in enumerate(pairs) if r is not None), default=(None, 0))
-            if best is None:
+            best = min(pairs)
+            if best == NONE:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            at = pairs.index(best)
+            parts[at] += parts.pop(at + 1)
             del pairs[at]
             if at:
-                pairs[at - 1] = ranks.get(parts[at - 1] + parts[at])
+                pairs[at - 1] = get(parts[at - 1] + parts[at], NONE)
             if at < len(pairs):
-                pairs[at] = ranks.get(parts[at] + parts[at + 1])
-        return [ranks[p] for p in parts]
+                pairs[at] = get(parts[at] + parts[at + 1], NONE)
+        return [self.ranks[p] for p in parts]
 
     def stays(self, a: int, b: int) -> bool:
         """Whether tokens a and b are the encoding of their joined bytes."""
@@ -118,33 +123,46 @@ class BytePair:
         half = len(piece) // 2
         return self.join(self.tree(piece[:half]), self.tree(piece[half:]))
 
-    def piece(self, text: str) -> tuple[tuple[int, ...], str]:
-        """The ids of a piece, and their decimal text with a space after each."""
-        found = self.cache.get(text)
-        if found is None:
-            raw = text.encode()
-            whole = self.ranks.get(raw)
-            ids = (whole,) if whole is not None else tuple(self.tree(raw))
-            found = ids, "".join(f"{i} " for i in ids)
-            if len(text) <= LONGEST_CACHED:
-                if len(self.cache) >= CACHED:
-                    self.cache.clear()
-                self.cache[text] = found
-        return found
-
-    def _runs(self, text: str, most: int = 50_000) -> Iterator[list[tuple[tuple[int, ...], str]]]:
-        """The encoded pieces of a text, in runs of bounded length."""
-        run, get = [], self.cache.get
+    def piece(self, text: str) -> tuple[int, ...]:
+        """The ids of a piece."""
+        raw = text.encode()
+        whole = self.ranks.get(raw)
+        return (whole,) if whole is not None else tuple(self.tree(raw))
+
+    def piece_told(self, text: str) -> str:
+        """The ids of a piece as decimal text, with a space after each."""
+        return "".join([f"{i} " for i in self.piece(text)])
+
+    def _pieces(self, text: str) -> Iterator[list[str]]:
+        """The pieces of a text, in lists of bounded length."""
+        if len(text) <= WHOLE and not self.pattern.groups:
+            yield self.pattern.findall(text)
+            return
+        run = []
         for m in self.pattern.finditer(text):
-            piece = m[0]
-            run.append(get(piece) or self.piece(piece))
-            if len(run) >= most:
+            run.append(m[0])
+            if len(run) >= RUN:
                 yield run
                 run = []
         yield run
 
+    def _coded(self, text: str, known: dict, code: Callable) -> Iterator[list]:
+        """code of each piece of a text, in lists of bounded length, by a cache of bounded size."""
+        for pieces in self._pieces(text):
+            found = list(map(known.get, pieces))
+            if None in found:
+                for k, x in enumerate(found):
+                    if x is None:
+                        piece = pieces[k]
+                        found[k] = known.get(piece) or code(piece)
+                        if len(piece) <= LONGEST_CACHED:
+                            if len(known) >= CACHED:
+                                known.clear()
+                            known[piece] = found[k]
+            yield found
+
     def encode(self, text: str) -> list[int]:
-        return [i for run in self._runs(text) for ids, _ in run for i in ids]
+        return [i for run in self._coded(text, self.ids, self.piece) for ids in run for i in ids]
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of ids, concatenated up a tree of halves."""
@@ -156,8 +174,8 @@ class BytePair:
     def digests(self, text: str) -> tuple[int, str, str]:
         """Number of ids, digest of their decimal text, digest of the bytes decoded from that text."""
         n, coded, back, first = 0, hashlib.sha256(), hashlib.sha256(), True
-        for run in self._runs(text):
-            told = "".join([s for _, s in run])
+        for run in self._coded(text, self.told, self.piece_told):
+            told = "".join(run)
             if not told:
                 continue
             ids = told.split()
@@ -169,8 +187,6 @@ class BytePair:
 
     def decode_told(self, told: list[str]) -> bytes:
         """As decode, for ids as decimal texts."""
-        if not hasattr(self, "by_text"):
-            self.by_text = {str(i): t for t, i in self.ranks.items()}
         if len(told) <= 65536:
             return b"".join(map(self.by_text.__getitem__, told))
         half = len(told) // 2
