@@ -70,7 +70,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def narrowed(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """The rows whose key may be among ids (one column); a semi join must follow, as others may pass too.
+    """The rows whose key may be among ids (one column); an inner join with distinct ids must follow, as others may pass too.
 
     Keys are looked up in a bitmap of 2^MARKS bits, at most 4 MB however many ids there are, so it may be broadcast. With
     few ids almost all other rows are dropped before they are shuffled; with very many ids all pass.

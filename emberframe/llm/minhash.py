@@ -111,7 +111,10 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def _items(docs: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
-    """id, items: the full sets of the documents asked for, as packed sorted hashes."""
+    """id, items: the full sets of the documents asked for (each once), as packed sorted hashes.
+
+    An inner join, as a semi join would be pushed below the narrowing.
+    """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashers = [Hasher(5)]
@@ -121,7 +124,7 @@ def _items(docs: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
                 items = [x.tobytes() for _, x in _sets(batch, 1, hashers, shingle)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary())], names=["id", "items"])
 
-    texts = narrowed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", asked).join(asked, "doc_id", "left_semi")
+    texts = narrowed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", asked).join(asked, "doc_id")
     return texts.mapInArrow(hashed, "id long, items binary").dropDuplicates(["id"])
 
 
@@ -309,7 +312,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     # almost all buckets hold one document: what follows reads only the others
     shared = cut(narrowed(held, "bucket", hubs.select("bucket")).join(hubs, "bucket"))
     asked = shared.select("doc_id").distinct()
-    near = written(narrowed(nodes.select("doc_id", "n_shingles", "agree"), "doc_id", asked).join(asked, "doc_id", "left_semi"), "minhash-near")
+    near = written(narrowed(nodes.select("doc_id", "n_shingles", "agree"), "doc_id", asked).join(asked, "doc_id"), "minhash-near")
     pairs = shared.where("u <> doc_id").select("u", F.col("doc_id").alias("v")).distinct()
     links = cut(_confirmed(docs, cut(_agreeing(pairs, near, percent)), shingle, percent))
     member = cut(components(links))
