@@ -2,11 +2,13 @@
 
 Cross-document part: every line with a word is normalised (A-Z and other letters lower-cased, runs of white space made
 one space) and hashed. For each host and line the distinct documents that hold it are counted. Copies and near copies
-of one document are versions of it and count once: versions share their smallest line hash with a probability that is
-the overlap of their lines, so that hash stands for the document (a family of n near copies counts as about n times what
-they differ in). A line in more than
-``max(min_documents, share * documents of the host)`` documents is removed; a document that keeps less than
-``least_left`` of its words is depleted and rejected. All work is DataFrame operations.
+of one document are versions of it and count once: seen from a line, a document is named by the smallest hash of its
+other lines, and versions share that name with a probability that is the overlap of their lines. Names are formed under
+``NAMES`` hash functions and their numbers averaged, so that neither two lines of boilerplate that go together nor one
+line of low hash hide the documents behind them. A family of n near copies counts as about n times the part of lines in
+which they differ; ``share`` is above what near copies usually differ in, so one that fills a host is not boilerplate.
+A line in more than ``max(min_documents, share * documents of the host)`` documents is removed; a document that keeps
+less than ``least_left`` of its words is depleted and rejected. All work is DataFrame operations.
 
 Hosts: the column ``source``. Hot hosts and hot lines are pre-aggregated by (host, line, document) before any shuffle.
 
@@ -19,9 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, trimmed, word_array
+from .common import SPACE, trimmed, word_array, written
 
 MIN_DOCUMENTS, SHARE, LEAST_LEFT = 20, 0.1, 0.2
+NAMES = 4
 #: Fixed value: the characters that count as symbols.
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -81,13 +84,25 @@ def _exploded(docs: DataFrame) -> DataFrame:
     return rows.select("k_id", "k_text", "host", F.xxhash64("line").alias("h"), words.cast("long").alias("words"))
 
 
+def _lowest(hs: Column, k: int) -> Column:
+    """The two smallest of the line hashes under the k-th hash function; null where there is none."""
+    put = F.transform(hs, lambda h: F.xxhash64(h, F.lit(k)))
+    return F.struct(F.array_min(put).alias("first"), F.array_min(F.filter(put, lambda x: x != F.array_min(put))).alias("second"))
+
+
 def frequent_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE) -> DataFrame:
     """host, h: the hashes of the lines above the limit."""
     rows = docs.select(_host(docs).alias("host"), F.array_distinct(F.transform(_lines(docs["text"]), line_hash)).alias("hs"))
-    held = rows.select("host", F.array_min("hs").alias("version"), F.explode("hs").alias("h")).distinct()
-    counts = held.groupBy("host", "h").count().where(F.col("count") > min_documents)
+    counts = rows.select("host", F.explode("hs").alias("h")).groupBy("host", "h").count().where(F.col("count") > min_documents)
     hosts = docs.groupBy(_host(docs).alias("host")).agg(F.count("*").alias("documents"))
-    return counts.join(hosts, "host").where(F.col("count") > F.col("documents") * share).select("host", "h")
+    limit = F.greatest(F.lit(float(min_documents)), F.col("documents") * share)
+    # there are no more versions than documents, so only these lines can be above the limit; written, so its size is known
+    maybe = written(counts.join(hosts, "host").where(F.col("count") > limit).select("host", "h", limit.alias("limit")), "quality-lines")
+    low = rows.select("host", "hs", *(_lowest(F.col("hs"), k).alias(f"low{k}") for k in range(NAMES)))
+    held = low.select("host", *(f"low{k}" for k in range(NAMES)), F.explode("hs").alias("h")).join(maybe, ["host", "h"])
+    other = (F.when(F.col(f"low{k}.first") == F.xxhash64("h", F.lit(k)), F.col(f"low{k}.second")).otherwise(F.col(f"low{k}.first")) for k in range(NAMES))
+    names = held.select("host", "h", "limit", F.posexplode(F.array(*other)).alias("k", "name")).distinct()
+    return names.groupBy("host", "h", "limit").count().where(F.col("count") > F.col("limit") * NAMES).select("host", "h")
 
 
 def losses(docs: DataFrame, **limits) -> DataFrame:

@@ -70,6 +70,14 @@ def test_copies_are_one_document(spark):
     assert got.where("kept").count() == 300
 
 
+def test_boilerplate_of_any_hash(spark):
+    """Lines that documents of a host share are found, however their hashes compare with those of the documents' own lines."""
+    own = lambda i: "\n".join(words(6, 10 * i + k) for k in range(10))
+    rows = [(60 * s + i, f"{own(60 * s + i)}\nfirst line of host {s}\nlast line of host {s}", f"s{s}") for s in range(40) for i in range(60)]
+    got = quality_rules.judge(docs_of(spark, rows)).collect()
+    assert {r.n_removed_words for r in got} == {10} and all(r.kept for r in got)
+
+
 # --- substring dedup
 
 
