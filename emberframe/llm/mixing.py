@@ -9,8 +9,9 @@ its target is drawn from its documents in the order of their keys -ln(u) / quali
 comes from a hash of doc_id. Documents are taken while their prefix sum of sizes stays within the rest; the document
 across the boundary is taken if that brings the sum nearer. Reruns agree.
 
-Prefix sums of a source are never one task's work: keys are dealt to ``bins`` ranges of equal expected size; sizes are
-summed by (source, bin) and prefix-summed over bins; only the bin in which the rest ends is ordered document by document.
+Prefix sums of a source are never one task's work: keys are dealt to ranges, ``bins`` for each doubling of the key; sizes
+are summed by (source, bin) and prefix-summed over bins; only the bin in which the rest ends is ordered document by
+document. Keys of one quality are exponential, so no bin expects more than 1/900 of a source, whatever its qualities are.
 All work is DataFrame operations.
 
 Quality: 1 / (1 + 10 * symbols / words), so that junk is drawn late.
@@ -22,6 +23,8 @@ draws its key from the text. An empty table gives no rows. Further columns pass
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +32,7 @@ from .common import SPACE, trimmed, written
 
 #: Weights by rank of the source, repeating.
 WEIGHTS = (5, 2, 1)
-MOST_EPOCHS, BINS = 3, 1024
+MOST_EPOCHS, BINS = 3, 256
 
 
 def size_of(text: Column) -> Column:
@@ -78,9 +81,9 @@ def _units(docs: DataFrame) -> DataFrame:
 def _drawn(docs: DataFrame, bins: int) -> DataFrame:
     """The units of docs with source_size, target and times, how often each is taken."""
     key = -F.log(uniform(F.col("doc_id"), F.col("text_key"))) / F.col("quality")
-    # 1 - exp(-key) is even for quality 1; other qualities only move rows to later bins, and the order is kept
     rows = _units(docs).withColumn("key", key)
-    rows = written(rows.withColumn("bin", F.least(F.floor((1 - F.exp(-F.col("key"))) * bins), F.lit(bins - 1)).cast("int")), "mix-units")
+    # the logarithm keeps the order, and a lower quality only moves keys to bins that are as narrow
+    rows = written(rows.withColumn("bin", F.floor(F.log("key") * (bins / math.log(2))).cast("int")), "mix-units")
     by_bin = rows.groupBy("source", "bin").agg(F.sum("unit_size").alias("bin_size"))
     goals = targets(by_bin.groupBy("source").agg(F.sum("bin_size").alias("source_size")))
     goals = goals.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
