@@ -1,14 +1,12 @@
 """Quality rules: base counts of a text, and cross-document line frequency.
 
 Cross-document part: every line with a word is normalised (A-Z and other letters lower-cased, runs of white space made
-one space) and hashed. For each host and line the distinct documents that hold it are counted. Copies and near copies
-of one document are versions of it and count once: seen from a line, a document is named by the smallest hash of its
-other lines, and versions share that name with a probability that is the overlap of their lines. Names are formed under
-``NAMES`` hash functions and their numbers averaged, so that neither two lines of boilerplate that go together nor one
-line of low hash hide the documents behind them. A family of n near copies counts as about n times the part of lines in
-which they differ; ``share`` is above what near copies usually differ in, so one that fills a host is not boilerplate.
-A line in more than ``max(min_documents, share * documents of the host)`` documents is removed; a document that keeps
-less than ``least_left`` of its words is depleted and rejected. All work is DataFrame operations.
+one space) and hashed. For each host and line the distinct documents that hold it are counted, exactly. Copies count
+once: documents of a host with the same set of lines are one, and so are documents that hold the same frequent lines
+(those in more rows than the limit) and beside them at most ``OWN`` of their words. All others are different documents,
+however many lines they share. A line in more than ``max(min_documents, share * documents of the host)`` documents is
+removed; a document that keeps less than ``least_left`` of its words is depleted and rejected. All work is DataFrame
+operations; the lines are hashed once, into a table in the shared folder.
 
 Hosts: the column ``source``. Hot hosts and hot lines are pre-aggregated by (host, line, document) before any shuffle.
 
@@ -23,8 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, trimmed, word_array, written
 
-MIN_DOCUMENTS, SHARE, LEAST_LEFT = 20, 0.1, 0.2
-NAMES = 4
+MIN_DOCUMENTS, SHARE, LEAST_LEFT = 20, 0.02, 0.2
+#: A page with a template of 20 lines and one own line of their length is a document; an own line in 30 makes a near copy.
+OWN = 0.04
 #: Fixed value: the characters that count as symbols.
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -76,41 +75,38 @@ def _key(docs: DataFrame) -> list[Column]:
     return [F.coalesce(docs["doc_id"], F.lit(-1)).alias("k_id"), F.xxhash64(docs["doc_id"].isNull(), docs["text"]).alias("k_text")]
 
 
-def _exploded(docs: DataFrame) -> DataFrame:
-    """k_id, k_text, host, line hash, words of the line."""
-    rows = docs.select(*_key(docs), _host(docs).alias("host"), F.explode(_lines(docs["text"])).alias("line"))
-    rows = rows.select("k_id", "k_text", "host", _normal(F.col("line")).alias("line"))
-    words = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    return rows.select("k_id", "k_text", "host", F.xxhash64("line").alias("h"), words.cast("long").alias("words"))
+def _line_table(docs: DataFrame) -> DataFrame:
+    """k_id, k_text, host, lines: the hash and the words of every line that has a word. Written, as three steps read it."""
+    words = lambda line: F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    lines = F.transform(F.transform(_lines(docs["text"]), _normal), lambda line: F.struct(F.xxhash64(line).alias("h"), words(line).alias("words")))
+    return written(docs.select(*_key(docs), _host(docs).alias("host"), lines.alias("lines")), "quality-lines")
 
 
-def _lowest(hs: Column, k: int) -> Column:
-    """The two smallest of the line hashes under the k-th hash function; null where there is none."""
-    put = F.transform(hs, lambda h: F.xxhash64(h, F.lit(k)))
-    return F.struct(F.array_min(put).alias("first"), F.array_min(F.filter(put, lambda x: x != F.array_min(put))).alias("second"))
-
-
-def frequent_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE) -> DataFrame:
-    """host, h: the hashes of the lines above the limit."""
-    rows = docs.select(_host(docs).alias("host"), F.array_distinct(F.transform(_lines(docs["text"]), line_hash)).alias("hs"))
-    counts = rows.select("host", F.explode("hs").alias("h")).groupBy("host", "h").count().where(F.col("count") > min_documents)
-    hosts = docs.groupBy(_host(docs).alias("host")).agg(F.count("*").alias("documents"))
+def frequent_lines(table: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE) -> DataFrame:
+    """host, h: the hashes of the lines above the limit; table as _line_table gives it."""
+    rows = table.select("host", F.sort_array(F.array_distinct("lines")).alias("lines"))
+    counts = rows.select("host", F.explode("lines.h").alias("h")).groupBy("host", "h").count().where(F.col("count") > min_documents)
+    hosts = table.groupBy("host").agg(F.count("*").alias("documents"))
     limit = F.greatest(F.lit(float(min_documents)), F.col("documents") * share)
-    # there are no more versions than documents, so only these lines can be above the limit; written, so its size is known
-    maybe = written(counts.join(hosts, "host").where(F.col("count") > limit).select("host", "h", limit.alias("limit")), "quality-lines")
-    low = rows.select("host", "hs", *(_lowest(F.col("hs"), k).alias(f"low{k}") for k in range(NAMES)))
-    held = low.select("host", *(f"low{k}" for k in range(NAMES)), F.explode("hs").alias("h")).join(maybe, ["host", "h"])
-    other = (F.when(F.col(f"low{k}.first") == F.xxhash64("h", F.lit(k)), F.col(f"low{k}.second")).otherwise(F.col(f"low{k}.first")) for k in range(NAMES))
-    names = held.select("host", "h", "limit", F.posexplode(F.array(*other)).alias("k", "name")).distinct()
-    return names.groupBy("host", "h", "limit").count().where(F.col("count") > F.col("limit") * NAMES).select("host", "h")
+    # there are no more documents than rows, so only these lines can be above the limit; written, so its size is known
+    maybe = written(counts.join(hosts, "host").where(F.col("count") > limit).select("host", "h", limit.alias("limit")), "quality-maybe")
+    total = F.aggregate("lines.words", F.lit(0), lambda n, x: n + x)
+    held = rows.select("host", F.xxhash64("lines").alias("set"), total.alias("total"), F.inline("lines")).join(maybe, ["host", "h"])
+    # rows with the same lines become one document; what differs beside the frequent lines is measured in words
+    sets = held.groupBy("host", "set", "total").agg(F.sort_array(F.collect_set(F.struct("h", "words", "limit"))).alias("found"))
+    own = F.col("total") - F.aggregate("found.words", F.lit(0), lambda n, x: n + x)
+    name = F.when(own <= F.col("total") * OWN, F.struct(F.lit(True).alias("near"), F.xxhash64("found.h").alias("h"))).otherwise(F.struct(F.lit(False).alias("near"), F.col("set").alias("h")))
+    names = sets.select("host", name.alias("name"), F.inline("found")).select("host", "h", "limit", "name").distinct()
+    return names.groupBy("host", "h", "limit").count().where(F.col("count") > F.col("limit")).select("host", "h")
 
 
 def losses(docs: DataFrame, **limits) -> DataFrame:
     """k_id, k_text, gone, removed: for documents that lose lines, the words they lose and the hashes of the lines."""
-    lost = _exploded(docs).join(frequent_lines(docs, **limits), ["host", "h"])
+    table = _line_table(docs)
+    lost = table.select("k_id", "k_text", "host", F.inline("lines")).join(frequent_lines(table, **limits), ["host", "h"])
     gone = lost.groupBy("k_id", "k_text").agg(F.sum("words").alias("gone"), F.collect_set("h").alias("removed"))
     # rows that repeat each other have summed their losses
-    copies = docs.groupBy(*_key(docs)).agg(F.count("*").alias("copies")).where("copies > 1")
+    copies = table.groupBy("k_id", "k_text").agg(F.count("*").alias("copies")).where("copies > 1")
     gone = gone.join(copies, ["k_id", "k_text"], "left")
     return gone.select("k_id", "k_text", (F.col("gone") / F.coalesce("copies", F.lit(1))).cast("long").alias("gone"), "removed")
 
