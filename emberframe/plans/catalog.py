@@ -196,6 +196,12 @@ def label_normalise(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", S.label(head).alias("label"))
 
 
+@query("""SELECT doc_id, trim(regexp_replace(lower(regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g')) AS label FROM documents""")
+def label_whole_texts(spark: SparkSession, d: str) -> DataFrame:
+    """As label_normalise, of all lines of a text in their full length."""
+    return read(spark, d, "documents").select("doc_id", S.label(F.col("text")).alias("label"))
+
+
 @query("""SELECT n_name, year, trim(regexp_replace(lower(n_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, CASE WHEN year < 2000 THEN '1993-1999' ELSE '2000-2009' END AS block,
  CASE WHEN year < 1998 THEN '1993' ELSE '1998' END AS model FROM nation, (SELECT DISTINCT year(o_orderdate)::INT AS year FROM orders)""")
 def province_partition(spark: SparkSession, d: str) -> DataFrame:
