@@ -4,11 +4,11 @@ Template of a turn: ``<turn ROLE>\nTEXT\n</turn>\n``. In texts and roles ``\`` i
 ``>`` is ``\2``; in roles a line feed is ``\3``. A ``<`` therefore stands only in marks, and every text comes back.
 
 Every assistant turn becomes an example of its own: all preceding turns are context and only that reply is trainable.
-Contexts overlap, so an example holds only what it adds: ``segment``, the formatted turns after the previous reply up to
+Contexts overlap, so ``examples`` holds only what each adds: ``segment``, the formatted turns after the previous reply up to
 and with its own; its context is the segments of the examples before it and its own segment up to ``loss_start``, and
-``context_chars`` is the length of those earlier segments. Space is thus in proportion to the input, also for one
-conversation of many thousand turns; ``materialise`` writes whole examples out. Turns after the last reply form a
-last row without a loss span. All work is DataFrame operations.
+``context_chars`` is the length of those earlier segments. What is shuffled is thus in proportion to the input;
+``materialise`` then builds the whole examples, and ``read_back`` reads turns and losses from these. Turns after the last
+reply form a last row without a loss span. All work is DataFrame operations.
 
 Defined results: a null text is empty, a null role is empty; turns are ordered by turn (null last), then role, then
 text; rows that repeat each other are turns of their own. A null conv_id is a conversation. A conversation without a
@@ -65,21 +65,32 @@ def examples(conversations: DataFrame, trainable: str = "assistant") -> DataFram
     )
 
 
-def materialise(rows: DataFrame) -> DataFrame:
-    """Whole training examples: conv_id, example, text, loss_start, loss_end. Its size is the sum of all contexts."""
+def _whole(rows: DataFrame) -> DataFrame:
+    """Every row with all its context: conv_id, example, text, loss_start, loss_end. Segments are shuffled, whole texts are not."""
     so_far = Window.partitionBy("conv_id").orderBy("example").rowsBetween(Window.unboundedPreceding, 0)
     text = F.array_join(F.collect_list("segment").over(so_far), "")
     start, end = (F.col("context_chars") + F.col(c) for c in ("loss_start", "loss_end"))
-    return rows.select("conv_id", "example", text.alias("text"), start.alias("loss_start"), end.alias("loss_end")).where("loss_start is not null")
+    return rows.select("conv_id", "example", text.alias("text"), start.alias("loss_start"), end.alias("loss_end"))
+
+
+def materialise(rows: DataFrame) -> DataFrame:
+    """Whole training examples: conv_id, example, text, loss_start, loss_end. Its size is the sum of all contexts."""
+    return _whole(rows).where("loss_start is not null")
 
 
 def read_back(rows: DataFrame) -> DataFrame:
-    """One row per conversation from its examples alone: conv_id, turns (role, text), losses (text), formatted_chars."""
-    parts = F.sort_array(F.collect_list(F.struct("example", "segment", "loss_start", "loss_end")))
-    whole = rows.groupBy("conv_id").agg(parts.alias("parts"))
-    segment = lambda p: p["segment"]
-    formatted = F.array_join(F.transform("parts", segment), "")
-    pieces = F.filter(F.split(formatted, CLOSE, -1), lambda x: x != "")
+    """One row per conversation from its whole examples alone: conv_id, turns (role, text), losses (text), formatted_chars.
+
+    Each loss is read at its span in its own example. turns is null if an example does not begin with the one before it.
+    """
+    loss = unescaped(F.substr("text", (F.col("loss_start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int")))
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("example"))
+    read = _whole(rows).select("conv_id", "example", "text", loss.alias("loss"), F.startswith("text", before).alias("goes_on"))
+    whole = read.groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("example", "loss"))).alias("parts"),
+        F.max_by("text", "example").alias("formatted"), F.coalesce(F.bool_and("goes_on"), F.lit(True)).alias("goes_on"),
+    )
+    pieces = F.filter(F.split("formatted", CLOSE, -1), lambda x: x != "")
     role = lambda x: F.substring_index(x, ">\n", 1)
     turns = F.transform(
         pieces,
@@ -88,9 +99,9 @@ def read_back(rows: DataFrame) -> DataFrame:
             unescaped(F.substr(x, F.length(role(x)) + 3)).alias("text"),
         ),
     )
-    trained = F.filter("parts", lambda p: p["loss_start"].isNotNull())
-    losses = F.transform(trained, lambda p: unescaped(F.substr(p["segment"], p["loss_start"] + 1, p["loss_end"] - p["loss_start"])))
-    return whole.select("conv_id", turns.alias("turns"), losses.alias("losses"), F.length(formatted).cast("long").alias("formatted_chars"))
+    losses = F.transform(F.filter("parts", lambda p: p["loss"].isNotNull()), lambda p: p["loss"])
+    turns = F.when(F.col("goes_on"), turns)
+    return whole.select("conv_id", turns.alias("turns"), losses.alias("losses"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
 def digests(rows: DataFrame) -> DataFrame:
