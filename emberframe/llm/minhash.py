@@ -40,9 +40,10 @@ from .words import U64, Hasher, mixed, series, tokenised, windows
 SHINGLE, PERCENT = 5, 80
 MINIMA, ROWS, BANDS = 256, 4, 32
 TILE = 2048
-#: At a similarity of 0.8 signatures of 256 minima agree by less than this part once in 30,000 times (4 deviations).
-#: Only 8 bits of each minimum are held: minima that differ agree in them once in 256 times, which loses no link.
-AGREE = 0.70
+#: Pairs whose signatures agree in less than this part are not tested on their full sets. With independent hash functions
+#: 256 minima (8 bits of each, so that different ones agree once in 256 times) do so at a similarity of 0.8 with a
+#: probability of 1.5e-10; that no band meets has 4.8e-8, and the two together 4.8e-8.
+AGREE = 0.63
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SIGNED = "row_id long, doc_id long, n_shingles long, digest binary, agree binary, bands array<long>"
 
