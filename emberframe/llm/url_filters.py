@@ -43,16 +43,36 @@ def node_of(url: Column) -> Column:
     return F.when(top != "", F.concat(top, F.when(rest.startswith("/"), "").otherwise("/"), rest))
 
 
+def _no_dots(path: Column) -> Column:
+    """A path without its . and .. segments, by RFC 3986 (5.2.4)."""
+    parts = F.split(path, "/", -1)
+    last = F.element_at(parts, -1)
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(
+        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), none,
+        lambda out, x: F.when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).when(x == ".", out).otherwise(F.concat(out, F.array(x))),
+    )
+    end = F.when(last.isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), end)).otherwise(path)
+
+
 def absolute(target: Column, base: Column) -> Column:
-    """A link's target seen from base."""
+    """A link's target seen from base, by RFC 3986 (5.2.2); a target with a host keeps its path as written, as urls of pages do."""
     own = F.regexp_extract(target, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//.*", 0)
     scheme = F.regexp_extract(base, r"^[^:]*:", 0)
-    return (
+    top = F.regexp_extract(base, r"^[^:]*://[^/?#]*", 0)
+    folder = F.regexp_replace(F.regexp_extract(base, r"^[^:]*://[^/?#]*(?:/(?:[^?#]*/)?)?", 0), "([^/])$", "$1/")
+    whole = (
         F.when(own.startswith("//"), F.concat(scheme, own))
         .when(own != "", own)
-        .when(target.startswith("/"), F.concat(F.regexp_extract(base, r"^[^:]*://[^/?#]*", 0), target))
-        .otherwise(F.concat(F.regexp_replace(F.regexp_extract(base, r"^[^:]*://[^/?#]*(?:/(?:[^?#]*/)?)?", 0), "([^/])$", "$1/"), target))
+        .when(target.startswith("/"), F.concat(top, target))
+        .when(target.startswith("?"), F.concat(F.regexp_extract(base, r"^[^:]*://[^?#]*", 0), target))
+        .when(target.startswith("#"), F.concat(F.regexp_extract(base, r"^[^#]*", 0), target))
+        .otherwise(F.concat(folder, target))
     )
+    cut_at = r"(?s)^([^:]*://[^/?#]*)([^?#]*)(.*)$"
+    part = lambda k: F.regexp_extract(whole, cut_at, k)
+    return F.when((own == "") & whole.rlike(cut_at), F.concat(part(1), _no_dots(part(2)), part(3))).otherwise(whole)
 
 
 def page_links(pages: DataFrame) -> DataFrame:
