@@ -41,7 +41,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mix", mix), ("encode", encode)]
-#: BPE can't be told in SQL; the stages are tested against brute force.
+#: BPE can't be told in SQL; the operators behind the stages are tested one by one, the whole is not.
 ORACLE_SQL = None
 
 

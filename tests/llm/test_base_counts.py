@@ -1,0 +1,15 @@
+"""The base columns of the quality rules against SQL."""
+
+import duckdb
+from test_queries import SF, rows
+
+from emberframe.llm.oracles import OP5
+from emberframe.llm.queries import QUERIES
+
+
+def test_base_columns(spark):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = con.sql(OP5)
+    got = QUERIES["op5_quality_rules"](spark, SF).select(*want.columns)
+    assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
