@@ -44,29 +44,44 @@ def squeezed(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where that is unset, a folder of this machine."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may leave that unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: the cluster has to name a folder that driver and executors share")
         where = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="emberframe-")
         shared_dir.own = where
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut by a checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_HELD: dict[str, SparkSession] = {}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows from a Parquet table in the shared folder: columnar and compressed, so smaller than a checkpoint."""
+    """The same rows from a Parquet table in the shared folder, which cuts the lineage; ``released`` removes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/emberframe-tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not _HELD:
+        atexit.register(_release_all)
+    _HELD[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Removes tables that written gave, as soon as what was made from them is written itself."""
+    for t in tables:
+        path = t._written_to
+        if path in _HELD:
+            _remove(_HELD.pop(path), path)
+
+
+def _release_all() -> None:
+    while _HELD:
+        path, spark = _HELD.popitem()
+        _remove(spark, path)
 
 
 def narrowed(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:

@@ -11,13 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import released, written
 
 
-def _state(edges: DataFrame) -> tuple:
-    """What changes if any edge changes."""
-    h = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count("*"), F.sum(F.shiftright(h, 32)), F.sum(F.xxhash64("v", "u") % 1_000_003)).first())
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether every larger end has one edge and is no smaller end: then all is settled."""
+    ends = edges.select(F.col("v").alias("node"), F.lit(1).alias("larger")).union(edges.select("u", F.lit(0)))
+    counts = ends.groupBy("node").agg(F.sum("larger").alias("n"), F.min("larger").alias("least"))
+    return counts.where("n > 1 or (n = 1 and least = 0)").isEmpty()
 
 
 def _star(pairs: DataFrame, hubs: DataFrame) -> DataFrame:
@@ -28,22 +29,25 @@ def _star(pairs: DataFrame, hubs: DataFrame) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges(u, v): any orderable type, either direction, repeats and loops allowed; nulls are no edges.
 
-    Returns node, component: the smallest node that can be reached, for every node of an edge between two nodes.
+    Returns node, component: the smallest node that can be reached, for every node of an edge between two nodes; a table
+    that the caller may release.
     """
-    now = cut(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct())
-    state = _state(now)
+    now = written(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct(), "edges")
     for _ in range(most_rounds):
+        if _is_forest_of_stars(now):
+            break
         both = now.select("u", "v").union(now.select(F.col("v"), F.col("u")))
         hubs = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("hub"))
-        large = cut(_star(both.where("v > u"), hubs))
+        large = written(_star(both.where("v > u"), hubs), "large-star")
+        released(now)
         # small-star: from the larger end, which also is tied to the hub itself
         down = large.select(F.col("v").alias("u"), F.col("u").alias("v"))
         hubs = down.groupBy("u").agg(F.min("v").alias("hub"))
         small = _star(down, hubs).union(hubs.select(F.col("u").alias("v"), F.col("hub").alias("u")))
-        now = cut(small.select("u", "v").where("u < v").distinct())
-        before, state = state, _state(now)
-        if before == state:
-            break
+        now = written(small.select("u", "v").where("u < v").distinct(), "small-star")
+        released(large)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return now.select(F.col("v").alias("node"), F.col("u").alias("component")).union(now.select("u", "u").distinct())
+    out = written(now.select(F.col("v").alias("node"), F.col("u").alias("component")).union(now.select("u", "u").distinct()), "components")
+    released(now)
+    return out

@@ -3,24 +3,33 @@
 A document's set holds its distinct runs of ``shingle`` words (A-Z lower-cased); with fewer words the whole sequence is
 its one member; without words the set is empty and linked with nothing. Two documents are linked if
 100 * |intersection| >= percent * |union|. Every link is confirmed on the full sets; sets of 64-bit hashes of whole
-shingles stand for the sets. Signatures have 256 minima of a*x + b modulo 2^32 (a odd). The first 128 make 32 bands of 4,
-which miss a pair of similarity 0.8 with a probability below 1e-7; all serve to verify candidates.
+shingles (keyed SipHash of every word) stand for the sets. Minima are those of a*x + b modulo 2^32 (a odd).
 
 Documents with the same set are one class; only its smallest id goes on. Within a bucket nothing is paired in full:
 
-1. Each member of a bucket is paired with the smallest id of it. Pairs whose signatures agree enough are confirmed on
-   the full sets; confirmed links form components by alternating large-star and small-star.
-2. Buckets whose members are still in several components are the rest. There members of different components are
-   compared by signature, in tiles of at most two blocks of about TILE; components that may be linked are tied into
-   clusters. Within a cluster all members of different components whose signatures agree enough are compared by their
-   full sets, again in tiles; only the links that connect components are given out.
-
-So every pair that shares a bucket is linked, known to be connected, or rejected on its signature or full sets; no
-bucket or partner is capped and no list of pairs is written. Tiles are dealt to tasks by key and tile, so a bucket with
-a third of all rows is no one task's work.
-
-Defined results: a null text has an empty set. Rows that repeat a doc_id are one node. A row without doc_id has no
-component and is kept. An empty table gives no rows. Further columns pass through ``deduplicate``.
+1. Coarse bands (32 of 4 minima). Each member of a bucket is paired with the smallest id of it. Pairs whose signatures
+   (256 minima, 8 bits of each) agree enough are confirmed on the full sets; confirmed links form components by
+   alternating large-star and small-star.
+2. Fine bands (100 of 8 further minima), only for members of coarse buckets that still hold several components: coarse
+   buckets also gather documents that share a passage, fine ones hardly any below a similarity of 0.5.
+3. Fine buckets with several components are the rest. There members of different components are compared by signature,
+   in tiles; components that may be linked are tied into clusters. Within a cluster members of different components whose
+   signatures agree enough are compared by their full sets, in tiles; only links that connect components are given out.
+
+So every pair that shares a fine bucket is linked, known to be connected, or rejected on its signature or full sets; no
+bucket or partner is capped and no list of pairs is written. The largest component of a bucket or cluster is never
+compared with itself: with k other members, a bucket of m rows sends m * ceil(k / TILE) + k * ceil(m / TILE) rows, which
+is in proportion to m as long as few members are unconnected. Tiles are bounded in rows and bytes and dealt by key and
+tile. What grows faster is only a group of very many documents that are pairwise similar at about 0.6 to 0.8 and yet not
+connected: these pairs have to be compared. Every intermediate table is removed when its successor is written.
+
+At a similarity of 0.8, for independent hash functions, a pair is missed by the coarse bands with a probability of 4.8e-8,
+by the fine ones with 1.0e-8 and by the test of signatures with 1.5e-10: 5.8e-8 in all.
+
+Defined results: a null text has an empty set. A row without doc_id has no component and is kept. Rows that repeat a
+doc_id with the same text are one node; if a doc_id has several texts, each row goes by its own text, and of sets whose
+smallest id is the same only that of the smallest digest is compared, the others follow it. An empty table gives no
+rows. Further columns pass through ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -33,19 +42,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, cut, narrowed, written
+from .common import by_value, narrowed, released, written
 from .components import components
 from .words import U64, Hasher, mixed, series, tokenised, windows
 
 SHINGLE, PERCENT = 5, 80
 MINIMA, ROWS, BANDS = 256, 4, 32
-TILE = 2048
-#: Pairs whose signatures agree in less than this part are not tested on their full sets. With independent hash functions
-#: 256 minima (8 bits of each, so that different ones agree once in 256 times) do so at a similarity of 0.8 with a
-#: probability of 1.5e-10; that no band meets has 4.8e-8, and the two together 4.8e-8.
+FINE_ROWS, FINE_BANDS = 8, 100
+#: A tile holds two blocks of about so many members and so many bytes of sets each.
+TILE, TILE_BYTES = 4096, 8 << 20
+#: Pairs whose signatures agree in less than this part are not tested on their full sets (different minima agree in their
+#: 8 bits once in 256 times).
 AGREE = 0.63
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SIGNED = "row_id long, doc_id long, n_shingles long, digest binary, agree binary, bands array<long>"
+FULL = "id long, n_shingles long, agree binary, items binary, fine array<long>"
 
 
 def shingle_set(h: np.ndarray, size: int) -> np.ndarray:
@@ -58,29 +69,42 @@ def shingle_set(h: np.ndarray, size: int) -> np.ndarray:
 
 
 class _Minima:
-    def __init__(self) -> None:
-        self.a = (series(11, MINIMA) >> U64(32)).astype(np.uint32) | np.uint32(1)
-        self.b = (series(12, MINIMA) >> U64(32)).astype(np.uint32)
+    """The first n minima of a family of universal hash functions."""
+
+    def __init__(self, n: int = MINIMA, seed: int = 11) -> None:
+        self.n = n
+        self.a = (series(seed, n) >> U64(32)).astype(np.uint32) | np.uint32(1)
+        self.b = (series(seed + 1, n) >> U64(32)).astype(np.uint32)
 
     def of(self, items: np.ndarray) -> np.ndarray:
         x = (items >> U64(32)).astype(np.uint32)
-        out = np.full(MINIMA, 0xFFFFFFFF, np.uint32)
-        for k in range(0, len(x), 2048):
-            part = np.multiply.outer(x[k : k + 2048], self.a)
+        out = np.full(self.n, 0xFFFFFFFF, np.uint32)
+        step = (1 << 19) // self.n
+        for k in range(0, len(x), step):
+            part = np.multiply.outer(x[k : k + step], self.a)
             part += self.b
             np.minimum(out, part.min(axis=0), out=out)
         return out
 
 
-def bands_of(minima: np.ndarray) -> np.ndarray:
+def bands_of(minima: np.ndarray, size: int = ROWS, n: int = BANDS) -> np.ndarray:
     """One 64-bit value for each band."""
-    rows = minima[: BANDS * ROWS].reshape(BANDS, ROWS).astype(U64)
-    out = mixed(np.arange(1, BANDS + 1, dtype=U64))
-    for k in range(ROWS):
+    rows = minima[: n * size].reshape(n, size).astype(U64)
+    out = mixed(np.arange(1, n + 1, dtype=U64))
+    for k in range(size):
         out = mixed(out ^ rows[:, k])
     return out
 
 
+def _digest(items: np.ndarray) -> bytes:
+    return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    flat = pa.array(np.concatenate(parts).view(np.int64) if parts else [], pa.int64())
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(b) for b in parts)]).astype(np.int32)), flat)
+
+
 def _sets(batch: pa.RecordBatch, text_at: int, hashers: list[Hasher], size: int) -> Iterator[tuple[int, np.ndarray]]:
     texts = [t.translate(_LOWER) for t in batch.column(text_at).cast(pa.binary()).to_pylist()]
     for k, (h,) in tokenised(texts, hashers):
@@ -99,38 +123,44 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 for _, items in _sets(batch, 1, hashers, shingle):
                     m = minima.of(items)
                     n.append(len(items))
-                    digest.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest())
+                    digest.append(_digest(items))
                     agree.append(m.astype(np.uint8).tobytes())
                     bands.append(bands_of(m) if len(items) else np.empty(0, U64))
-                flat = pa.array(np.concatenate(bands).view(np.int64) if bands else [], pa.int64())
-                ends = np.cumsum([0, *(len(b) for b in bands)]).astype(np.int32)
                 ids = batch.column(0)
-                columns = [ids, ids.fill_null(-1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(agree, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat)]
+                columns = [ids, ids.fill_null(-1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(agree, pa.binary()), _lists(bands)]
                 yield pa.RecordBatch.from_arrays(columns, names=["row_id", "doc_id", "n_shingles", "digest", "agree", "bands"])
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, SIGNED)
 
 
-def _items(docs: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
-    """id, items: the full sets of the documents asked for (each once), as packed sorted hashes.
+def _full(docs: DataFrame, asked: DataFrame, shingle: int, fine: bool) -> DataFrame:
+    """id, n_shingles, agree, items (the full set as packed sorted hashes), fine (the fine bands, if wanted) of asked.
 
-    An inner join, as a semi join would be pushed below the narrowing.
+    asked(doc_id, digest, n_shingles, agree): each doc_id once; rows of the same id with another set are left out. An inner
+    join, as a semi join would be pushed below the narrowing.
     """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashers = [Hasher(5)]
+        hashers, minima = [Hasher(5)], _Minima(FINE_ROWS * FINE_BANDS, 21)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                items = [x.tobytes() for _, x in _sets(batch, 1, hashers, shingle)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary())], names=["id", "items"])
+                digests, keep, items, bands = batch.column(2).to_pylist(), [], [], []
+                for k, x in _sets(batch, 1, hashers, shingle):
+                    if _digest(x) == digests[k]:
+                        keep.append(k)
+                        items.append(x.tobytes())
+                        bands.append(bands_of(minima.of(x), FINE_ROWS, FINE_BANDS) if fine else np.empty(0, U64))
+                kept = [batch.column(i).take(pa.array(keep, pa.int64())) for i in (0, 3, 4)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(items, pa.binary()), _lists(bands)], names=["id", "n_shingles", "agree", "items", "fine"])
 
-    texts = narrowed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", asked).join(asked, "doc_id")
-    return texts.mapInArrow(hashed, "id long, items binary").dropDuplicates(["id"])
+    texts = narrowed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", asked.select("doc_id"))
+    rows = texts.join(asked, "doc_id").select("doc_id", "text", "digest", "n_shingles", "agree")
+    return rows.mapInArrow(hashed, FULL).dropDuplicates(["id"])
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (u, v) of documents that are linked, by their full sets."""
+def _confirmed(docs: DataFrame, near: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (u, v) of documents that are linked, by their full sets; a table."""
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,11 +171,14 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) ->
                 ok.append(100 * both >= percent * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    items = written(_items(docs, pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), shingle), "minhash-sets")
+    asked = near.join(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "doc_id")
+    items = written(_full(docs, asked, shingle, False).select("id", "items"), "minhash-sets")
     left = items.select(F.col("id").alias("u"), F.col("items").alias("x"))
     right = items.select(F.col("id").alias("v"), F.col("items").alias("y"))
     full = pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y")
-    return full.mapInArrow(linked, "u long, v long")
+    out = written(full.mapInArrow(linked, "u long, v long"), "minhash-links")
+    released(items)
+    return out
 
 
 def _agreeing(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -182,16 +215,27 @@ class _Groups:
 
 
 def _tiled(members: DataFrame, key: str, solve: Callable[[dict, np.ndarray, np.ndarray], Iterator[tuple[int, int]]]) -> DataFrame:
-    """u, v: what solve gives for each tile of members with the same key.
+    """u, v: what solve gives for each tile of members(key, doc_id, component, ..) with the same key; a table.
 
-    Members are dealt to blocks of about TILE; a tile holds two blocks, or one, so every two members meet in one tile.
-    solve gets the columns of a tile, and the places of its left and right block (the same ones for one block).
+    The members outside the largest component of a key are dealt to blocks, and so are those inside it. A tile holds two
+    blocks, or one, not both of the largest component; every two members that are not both in it meet in one tile. solve
+    gets the columns of a tile, and the places of its left and right block (the same ones for one block).
     """
-    sizes = members.groupBy(key).agg(F.count("*").alias("m"))
-    rows = members.join(sizes, key).withColumn("blocks", F.ceil(F.col("m") / TILE).cast("int")).drop("m")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    rows = rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other")
+    size = F.octet_length("items") if "items" in members.columns else F.lit(0)
+    sums = members.groupBy(key, "component").agg(F.count("*").alias("m"), F.sum(size).alias("size"))
+    most = F.max(F.struct("m", F.col("component").alias("c"), "size")).alias("most")
+    sums = sums.groupBy(key).agg(most, F.sum("m").alias("m"), F.sum("size").alias("size"))
+    blocks = lambda m, size: F.greatest(F.ceil(m / TILE), F.ceil(size / TILE_BYTES)).cast("int")
+    sums = sums.select(
+        key, F.col("most.c").alias("large"), blocks(F.col("most.m"), F.col("most.size")).alias("inner"),
+        blocks(F.col("m") - F.col("most.m"), F.col("size") - F.col("most.size")).alias("outer"),
+    ).where("outer > 0")
+    rows = members.join(sums, key).withColumn("within", F.col("component") == F.col("large"))
+    h = F.xxhash64("doc_id")
+    rows = rows.withColumn("own", F.when(F.col("within"), F.col("outer") + F.pmod(h, "inner")).otherwise(F.pmod(h, "outer")).cast("int"))
+    last = F.when(F.col("within"), F.col("outer") - 1).otherwise(F.col("outer") + F.col("inner") - 1)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    rows = rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
     names = [key, "low", "high", "own", *(c for c in members.columns if c != key)]
 
     def tile(group: list[tuple]) -> Iterator[tuple[int, int]]:
@@ -207,22 +251,23 @@ def _tiled(members: DataFrame, key: str, solve: Callable[[dict, np.ndarray, np.n
             both = sorted(found)
             return pa.RecordBatch.from_pydict({"u": pa.array([p[0] for p in both], pa.int64()), "v": pa.array([p[1] for p in both], pa.int64())})
 
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:3] != now:
-                    if len(group) > 1:
-                        found.update(tile(group))
-                    if len(found) > 100_000:
-                        yield out()
-                        found = set()
-                    now, group = row[:3], []
-                group.append(row)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                for row in zip(*(c.to_pylist() for c in whole.slice(at, 1000).columns), strict=True):
+                    if row[:3] != now:
+                        if len(group) > 1:
+                            found.update(tile(group))
+                        if len(found) > 100_000:
+                            yield out()
+                            found = set()
+                        now, group = row[:3], []
+                    group.append(row)
         if len(group) > 1:
             found.update(tile(group))
         yield out()
 
     dealt = rows.select(*names).repartition(key, "low", "high").sortWithinPartitions(key, "low", "high")
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    return written(dealt.mapInArrow(run, "u long, v long").distinct(), f"minhash-{key}-ties")
 
 
 def _alike(columns: dict, percent: int) -> Callable[[int, np.ndarray], np.ndarray]:
@@ -284,48 +329,89 @@ def _linked(members: DataFrame, percent: int) -> DataFrame:
     return _tiled(members, "cluster", solve)
 
 
-def _settled(docs: DataFrame, near: DataFrame, links: DataFrame, member: DataFrame, ties: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The final components, once every candidate between those of member is confirmed or rejected.
+def _several(members: DataFrame, key: str) -> DataFrame:
+    """The keys that hold members of more than one component."""
+    return members.groupBy(key).agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select(key)
+
+
+def _settled(rest: DataFrame, links: DataFrame, member: DataFrame, ties: DataFrame, percent: int) -> DataFrame:
+    """The final components, once every candidate between components that are tied is confirmed or rejected.
 
     Components and ties make clusters; links can only lie within one. A document is in one cluster, so its set is sent
     once per tile, and candidates are confirmed where they are found instead of being listed.
+    rest(doc_id, n_shingles, agree, items, component).
     """
-    clusters = cut(components(links.union(ties)).withColumnsRenamed({"node": "doc_id", "component": "cluster"}))
-    placed = clusters.join(member, clusters.doc_id == member.node, "left").select("doc_id", "cluster", F.coalesce("component", "doc_id").alias("component"))
-    several = placed.groupBy("cluster").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("cluster")
-    rest = cut(placed.join(several, "cluster", "left_semi"))
-    items = _items(docs, rest.select("doc_id"), shingle).withColumnRenamed("id", "doc_id")
-    full = rest.join(near, "doc_id").join(items, "doc_id")
-    more = cut(_linked(full.select("cluster", "doc_id", "component", "n_shingles", "agree", "items"), percent))
-    return member if more.isEmpty() else components(links.union(more))
+    tied = components(links.select("u", "v").union(ties))
+    clusters = tied.withColumnsRenamed({"node": "doc_id", "component": "cluster"})
+    placed = rest.join(clusters, "doc_id")
+    full = placed.join(_several(placed.select("cluster", "component"), "cluster"), "cluster")
+    more = _linked(full.select("cluster", "doc_id", "component", "n_shingles", "agree", "items"), percent)
+    released(tied)
+    if more.isEmpty():
+        released(more)
+        return member
+    released(member)
+    out = components(links.union(more))
+    released(more)
+    return out
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept."""
-    signed = written(signatures(docs, shingle), "minhash-signatures")
-    known = signed.where("row_id is not null and n_shingles > 0")
-    # documents of one digest have the same set, so the same signature
-    classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    firsts = (F.first(c).alias(c) for c in ("n_shingles", "agree", "bands"))
-    nodes = written(known.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *firsts).drop("digest"), "minhash-nodes")
+def _members(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """node, component: of all nodes that are linked with another; a table. nodes(doc_id, digest, n_shingles, agree, bands)."""
     held = nodes.select("doc_id", F.explode("bands").alias("bucket"))
-    hubs = cut(held.groupBy("bucket").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("last")).where("u < last").drop("last"))
+    hubs = written(held.groupBy("bucket").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("last")).where("u < last").drop("last"), "minhash-hubs")
     # almost all buckets hold one document: what follows reads only the others
-    shared = cut(narrowed(held, "bucket", hubs.select("bucket")).join(hubs, "bucket"))
+    shared = written(narrowed(held, "bucket", hubs.select("bucket")).join(hubs, "bucket"), "minhash-shared")
+    released(hubs)
     asked = shared.select("doc_id").distinct()
-    near = written(narrowed(nodes.select("doc_id", "n_shingles", "agree"), "doc_id", asked).join(asked, "doc_id"), "minhash-near")
+    near = written(narrowed(nodes.drop("bands"), "doc_id", asked).join(asked, "doc_id"), "minhash-near")
+    released(nodes)
     pairs = shared.where("u <> doc_id").select("u", F.col("doc_id").alias("v")).distinct()
-    links = cut(_confirmed(docs, cut(_agreeing(pairs, near, percent)), shingle, percent))
-    member = cut(components(links))
-    # buckets that still hold several components
+    pairs = written(_agreeing(pairs, near, percent), "minhash-pairs")
+    links = _confirmed(docs, near, pairs, shingle, percent)
+    released(pairs)
+    member = components(links)
+    # members of coarse buckets that still hold several components
     placed = shared.join(member, shared.doc_id == member.node, "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed_up = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
-    rest = placed.join(mixed_up, "bucket").join(near, "doc_id")
-    ties = cut(_candidates(rest.select("bucket", "doc_id", "component", "n_shingles", "agree"), percent))
+    unclear = placed.join(_several(placed, "bucket"), "bucket").select("doc_id", "component").distinct()
+    unclear = written(unclear, "minhash-unclear")
+    released(shared)
+    if unclear.isEmpty():
+        released(near, unclear, links)
+        return member
+    rest = _full(docs, near.join(unclear.select("doc_id"), "doc_id"), shingle, True)
+    rest = written(rest.withColumnRenamed("id", "doc_id").join(unclear, "doc_id"), "minhash-rest")
+    released(near, unclear)
+    held = rest.select("doc_id", "component", F.explode("fine").alias("bucket"))
+    several = written(_several(held, "bucket"), "minhash-fine")
+    fine = narrowed(held, "bucket", several).join(several, "bucket").join(rest.select("doc_id", "n_shingles", "agree"), "doc_id")
+    ties = _candidates(fine.select("bucket", "doc_id", "component", "n_shingles", "agree"), percent)
+    released(several)
     if not ties.isEmpty():
-        member = _settled(docs, near, links, member, ties, shingle, percent)
+        member = _settled(rest, links, member, ties, percent)
+    released(rest, ties, links)
+    return member
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept."""
+    signed = written(signatures(docs, shingle), "minhash-signatures")
+    known = signed.where("row_id is not null and n_shingles > 0")
+    rows = written(signed.select("row_id", "n_shingles", "digest"), "minhash-rows")
+    # documents of one digest have the same set, so the same signature
+    classes = written(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "minhash-classes")
+    firsts = (F.first(c).alias(c) for c in ("n_shingles", "agree", "bands"))
+    nodes = written(known.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *firsts), "minhash-nodes")
+    released(signed)
+    # a doc_id that stands for several sets is one node, that of the smallest digest
+    twice = classes.groupBy("rep").agg(F.min("digest").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    if not twice.isEmpty():
+        further = classes.join(twice, "rep").where("digest <> least").select("digest")
+        before, nodes = nodes, written(nodes.join(further, "digest", "left_anti"), "minhash-nodes")
+        released(before)
+    member = _members(docs, nodes, shingle, percent)
     found = classes.join(member, classes.rep == member.node, "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = signed.join(found, "digest", "left")
+    out = rows.join(found, "digest", "left")
     alone = F.col("n_shingles") == 0
     component = F.when(F.col("row_id").isNotNull(), F.when(alone, F.col("row_id")).otherwise(F.col("component")))
     out = out.select(F.col("row_id").alias("doc_id"), "n_shingles", component.alias("component_id"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import written
 from .components import components
 
 #: Rules as (action, host and path).
@@ -117,7 +117,7 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
     edges = page_links(pages)
     if redirects is not None:
         edges = edges.union(redirects.select(node_of(F.col("source")), node_of(F.col("target"))))
-    edges = cut(edges.where("u is not null and v is not null").distinct())
+    edges = written(edges.where("u is not null and v is not null").distinct(), "url-edges")
     # a rule is judged on the page's own path, which an empty path written as / would change
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     own = matched(rows.select(F.concat(F.lit("x://"), "host", "path").alias("node")).distinct(), rules)

@@ -1,22 +1,27 @@
-"""Words of many texts at once: where they are and 64-bit hashes of them, with numpy.
+"""Words of many texts at once as 64-bit hashes, and hashes of runs of words.
 
-A word is a maximal run of bytes other than white space. Its hash is a polynomial over random 64-bit values of its
-bytes, taken modulo 2^64 and then mixed; it depends on the bytes alone. Texts are hashed in pieces of about PIECE bytes,
-cut at white space, so memory stays bounded for texts of any length (a single longer word is one piece).
+A word is a maximal run of bytes other than white space (bytes.split() parts at exactly the six characters of the word
+rule). Its hash is SipHash of its bytes under a key that the seed gives: a keyed function without algebra in its input, so
+unequal words of any length or pattern agree with a probability of 2^-64. Runs of words are hashed by joining halves; each
+join ends in a bijection that is not linear, so patterns of equal words in a run can't cancel out either.
+
+Texts are split in pieces of about PIECE bytes, cut at white space, so memory stays bounded for texts of any length (a
+single longer word is one piece).
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
+from pandas.util import hash_array
 
 from .common import by_value
 
 PIECE = 1 << 20
 U64 = np.uint64
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -36,74 +41,71 @@ class Hasher:
     """Hashes words; hashers of different seeds are independent."""
 
     def __init__(self, seed: int) -> None:
-        self.values = series(seed, 256) | U64(1)
-        self.values[_IS_SPACE] = 0
-        self.base = int(series(seed + 7, 1)[0]) | 1
-        self.back = pow(self.base, -1, 1 << 64)
-        self.powers = self.inverse = np.ones(1, U64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.powers) < n:
-            with np.errstate(over="ignore"):
-                for name, step in (("powers", self.base), ("inverse", self.back)):
-                    table = np.full(n, step, U64)
-                    table[0] = 1
-                    setattr(self, name, np.multiply.accumulate(table))
-
-    def words(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Hashes of the words that start at starts, in a piece of bytes."""
-        self._grow(max(len(data), PIECE + 1))
-        sums = np.add.reduceat(self.values[data] * self.powers[: len(data)], starts)
-        return mixed(sums * self.inverse[starts])
-
-
-def _pieces(data: np.ndarray, space: np.ndarray) -> Iterator[tuple[int, int]]:
+        self.key = f"{int(series(seed, 1)[0]):016x}"
+
+    def words(self, words: np.ndarray) -> np.ndarray:
+        """Hashes of an array of bytes objects."""
+        return hash_array(words, hash_key=self.key, categorize=False) if len(words) else np.empty(0, U64)
+
+
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """The text in pieces of about PIECE bytes, cut at white space."""
     at = 0
-    while at < len(data):
-        end = min(len(data), at + PIECE)
-        if end < len(data):
-            cuts = np.flatnonzero(space[at:end])
-            if len(cuts):
-                end = at + int(cuts[-1]) + 1
-            else:  # a word longer than a piece
-                more = np.flatnonzero(space[end:])
-                end = end + int(more[0]) + 1 if len(more) else len(data)
-        yield at, end
+    while at < len(text):
+        end = at + PIECE
+        if end < len(text):
+            found = _SPACE.search(text, end)
+            end = found.start() if found else len(text)
+        yield text[at:end]
         at = end
 
 
-def hashed(data: bytes, hashers: list[Hasher]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Starts and ends of all words in data, and their hashes by each hasher."""
-    raw = np.frombuffer(data, np.uint8)
-    space = _IS_SPACE[raw]
-    edge = np.empty(len(raw) + 1, bool)
-    if len(raw):
-        edge[0], edge[-1] = not space[0], not space[-1]
-        np.not_equal(space[1:], space[:-1], out=edge[1:-1])
-    else:
-        edge[0] = False
-    edges = np.flatnonzero(edge)
-    starts, ends = edges[0::2], edges[1::2]
+def hashed(texts: list[bytes], hashers: list[Hasher]) -> tuple[list[int], list[np.ndarray]]:
+    """The number of words of each text, and the hashes of all their words by each hasher."""
+    counts: list[int] = []
     out: list[list[np.ndarray]] = [[] for _ in hashers]
-    if len(starts):
-        for a, b in _pieces(raw, space):
-            own = starts[np.searchsorted(starts, a) : np.searchsorted(starts, b)]
-            if len(own):
-                for h, to in zip(hashers, out, strict=True):
-                    to.append(h.words(raw[a:b], own - a))
-    return starts, ends, [np.concatenate(x) if x else np.empty(0, U64) for x in out]
-
-
-def windows(h: np.ndarray, size: int, multiplier: int = 0x9E3779B97F4A7C15) -> np.ndarray:
-    """Hashes of all runs of size consecutive values, by start."""
+    held: list[bytes] = []
+
+    def flush() -> None:
+        words = np.empty(len(held), object)
+        words[:] = held
+        for h, to in zip(hashers, out, strict=True):
+            to.append(h.words(words))
+        held.clear()
+
+    for text in texts:
+        n = 0
+        for piece in [text] if len(text) <= PIECE else _pieces(text):
+            words = piece.split()
+            n += len(words)
+            held.extend(words)
+            if len(held) > PIECE // 4:
+                flush()
+        counts.append(n)
+    if held:
+        flush()
+    return counts, [np.concatenate(x) if x else np.empty(0, U64) for x in out]
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mixed(a * U64(0x9E3779B97F4A7C15) + b)
+
+
+def windows(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of size consecutive values, by start: runs of powers of two joined by the bits of size."""
     n = len(h) - size + 1
     if n <= 0:
         return np.empty(0, U64)
-    out = h[:n].copy()
-    for k in range(1, size):
-        out *= U64(multiplier)
-        out += h[k : k + n]
-    return mixed(out)
+    out, done, power, width = None, 0, mixed(h + U64(1)), 1
+    while True:
+        if size & width:
+            part = power[done : done + n]
+            out = part if out is None else _joined(out, part)
+            done += width
+        if done == size:
+            return out
+        power = _joined(power[: len(power) - width], power[width:])
+        width *= 2
 
 
 def bundles(texts: list[bytes], most: int = PIECE) -> Iterator[tuple[int, int]]:
@@ -121,13 +123,11 @@ def bundles(texts: list[bytes], most: int = PIECE) -> Iterator[tuple[int, int]]:
 def tokenised(texts: list[bytes], hashers: list[Hasher]) -> Iterator[tuple[int, list[np.ndarray]]]:
     """For each text its index and the hashes of its words by each hasher."""
     for a, b in bundles(texts):
-        starts, _, hashes = hashed(b"\n".join(texts[a:b]), hashers)
-        ends = np.cumsum([len(t) + 1 for t in texts[a:b]])
-        cuts = np.searchsorted(starts, ends)
+        counts, hashes = hashed(texts[a:b], hashers)
         low = 0
-        for k, high in enumerate(cuts):
-            yield a + k, [h[low:high] for h in hashes]
-            low = high
+        for k, n in enumerate(counts):
+            yield a + k, [h[low : low + n] for h in hashes]
+            low += n
 
 
 by_value(__name__)
