@@ -12,7 +12,8 @@ Workers load the rank file from ``path``; it must be readable on every executor.
 bounded size.
 
 Defined results: a null text is empty: no tokens, the digest of no bytes. Rows that repeat are encoded alike; an empty
-table gives no rows. Bytes that are not UTF-8 can't occur in strings. Further columns pass through ``encode``.
+table gives no rows. Bytes that are not UTF-8 can't occur in strings. Texts of any length are encoded whole, pieces in
+runs of bounded number. Further columns pass through ``encode``; a column token_ids of docs is replaced.
 """
 
 from __future__ import annotations
@@ -217,9 +218,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """docs with a further column token_ids."""
-    if "token_ids" in docs.columns:
-        raise ValueError("docs already has a column token_ids")
+    """docs with a further column token_ids, in place of one of that name."""
 
     @F.pandas_udf("array<int>")
     def ids_of(texts: pd.Series) -> pd.Series:
@@ -230,9 +229,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
-    """tokens (with token_ids) with a further column decoded: the bytes as a text."""
-    if "decoded" in tokens.columns:
-        raise ValueError("tokens already has a column decoded")
+    """tokens (with token_ids) with a further column decoded, in place of one of that name: the bytes as a text."""
 
     @F.pandas_udf("string")
     def text_of(ids: pd.Series) -> pd.Series:

@@ -3,7 +3,7 @@
 Features: runs of 1 to 3 characters of the lower-cased text, white space runs as one space, hashed into BUCKETS. A text's
 vector is the mean of the embeddings of all its features; a linear layer and a softmax give a probability per language.
 Training takes a bounded sample: about ``per_language`` labelled rows of each language, chosen by a hash of doc_id (the
-bound; counts of labels cover all rows). Their features are counted on the executors, so what reaches the driver is at
+bound; counts of labels cover all rows and reach the driver as one number a language). Their features are counted on the executors, so what reaches the driver is at
 most BUCKETS counts a row. A fifth of the sample is held back to calibrate: a temperature that fits the probabilities,
 and a threshold under which a prediction is rejected so that at most ``tolerated`` of the held-back rows are accepted and
 wrong, at least MIN_SCORE.
@@ -13,7 +13,8 @@ of fixed size; it goes to the workers with the task. Every whole text is read, i
 
 Defined results: null text and text without a letter: ``und``, score 0, rejected. Languages never seen are never given.
 Without any training row every text is ``und``. Rows with a null label are predicted and never learned from. Repeated
-rows get equal results; an empty table gives no rows. ``identify`` keeps further columns.
+rows get equal results; an empty table gives no rows. ``identify`` keeps further columns; those of docs that are named as
+one of its results (lang_pred, score, rejected) are replaced.
 """
 
 from __future__ import annotations
@@ -118,11 +119,13 @@ def _trained(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes:
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, tolerated: float = TOLERATED) -> Model:
     """A model from labelled(doc_id, text, lang)."""
     known = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    counts = known.groupBy("lang").count()
-    share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count"))
-    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * float(1 << 30)
-    # one row per language: a small table by its nature, which the planner may broadcast
-    sample = known.join(counts, "lang").where(chosen).select("doc_id", "lang", "text")
+    # one count per language; as literals in the filter they need no join, so no text but the sample's leaves its scan
+    shares = {r["lang"]: min(1.0, per_language / r["count"]) for r in known.groupBy("lang").count().collect()}
+    if not shares:
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, 1.0)
+    below = F.create_map(*(F.lit(x) for lang, share in sorted(shares.items()) for x in (lang, int(share * (1 << 30)))))
+    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.try_element_at(below, F.col("lang")))
+    sample = sample.select("doc_id", "lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,8 +173,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def of(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score", "rejected"])
 
-    out = docs.withColumn("__language", of("text"))
-    return out.select(*docs.columns, "__language.lang_pred", "__language.score", "__language.rejected")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    out = rows.withColumn("found", of(names[docs.columns.index("text")]))
+    kept = [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True) if c not in ("lang_pred", "score", "rejected")]
+    return out.select(*kept, "found.lang_pred", "found.score", "found.rejected")
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:

@@ -51,6 +51,7 @@ MINIMA, ROWS, BANDS = 256, 4, 32
 FINE_ROWS, FINE_BANDS = 8, 100
 #: A tile holds two blocks of about so many members and so many bytes of sets each.
 TILE, TILE_BYTES = 4096, 8 << 20
+SALTS = 32
 #: Pairs whose signatures agree in less than this part are not tested on their full sets (different minima agree in their
 #: 8 bits once in 256 times).
 AGREE = 0.63
@@ -230,7 +231,10 @@ def _tiled(members: DataFrame, key: str, solve: Callable[[dict, np.ndarray, np.n
         key, F.col("most.c").alias("large"), blocks(F.col("most.m"), F.col("most.size")).alias("inner"),
         blocks(F.col("m") - F.col("most.m"), F.col("size") - F.col("most.size")).alias("outer"),
     ).where("outer > 0")
-    rows = members.join(sums, key).withColumn("within", F.col("component") == F.col("large"))
+    # one row per key on this side, so it can be repeated for salts: a key with a third of all members is no one task's work
+    sums = sums.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    rows = salted.join(sums, [key, "salt"]).withColumn("within", F.col("component") == F.col("large"))
     h = F.xxhash64("doc_id")
     rows = rows.withColumn("own", F.when(F.col("within"), F.col("outer") + F.pmod(h, "inner")).otherwise(F.pmod(h, "outer")).cast("int"))
     last = F.when(F.col("within"), F.col("outer") - 1).otherwise(F.col("outer") + F.col("inner") - 1)
@@ -343,9 +347,7 @@ def _settled(rest: DataFrame, links: DataFrame, member: DataFrame, ties: DataFra
     """
     tied = components(links.select("u", "v").union(ties))
     clusters = tied.withColumnsRenamed({"node": "doc_id", "component": "cluster"})
-    placed = rest.join(clusters, "doc_id")
-    full = placed.join(_several(placed.select("cluster", "component"), "cluster"), "cluster")
-    more = _linked(full.select("cluster", "doc_id", "component", "n_shingles", "agree", "items"), percent)
+    more = _linked(rest.join(clusters, "doc_id").select("cluster", "doc_id", "component", "n_shingles", "agree", "items"), percent)
     released(tied)
     if more.isEmpty():
         released(more)

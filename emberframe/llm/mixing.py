@@ -17,8 +17,9 @@ All work is DataFrame operations.
 Quality: 1 / (1 + 10 * symbols / words), so that junk is drawn late.
 
 Defined results: null text has size 0 and is taken 0 words; a source of size 0 has target 0; null source is a source of
-its own; equal keys are ordered by doc_id. Rows that repeat each other are drawn together; each counts. A null doc_id
-draws its key from the text. An empty table gives no rows. Further columns pass through ``mix``.
+its own; equal keys are ordered by doc_id. Rows that repeat each other have one key and are drawn one after the other, so
+a source ends within half a document of its target. A null doc_id draws its key from the text. Targets are found in one
+ordered pass over the sources, one row each, so there should be fewer than millions of them. An empty table gives no rows. Further columns pass through ``mix``.
 """
 
 from __future__ import annotations
@@ -79,7 +80,7 @@ def _units(docs: DataFrame) -> DataFrame:
 
 
 def _drawn(docs: DataFrame, bins: int) -> DataFrame:
-    """The units of docs with source_size, target and times, how often each is taken."""
+    """The units of docs with source_size, target, epochs (how often each copy is taken) and extra (how many copies are taken once more)."""
     key = -F.log(uniform(F.col("doc_id"), F.col("text_key"))) / F.col("quality")
     rows = _units(docs).withColumn("key", key)
     # the logarithm keeps the order, and a lower quality only moves keys to bins that are as narrow
@@ -95,26 +96,40 @@ def _drawn(docs: DataFrame, bins: int) -> DataFrame:
     out = rows.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("bin") == F.col("p_bin"))).drop("p_source", "p_bin")
     within = F.col("bin_from") + F.col("bin_size") <= F.col("rest")
     beyond = F.col("bin_from") >= F.col("rest")
-    sure = out.where(within | beyond).withColumn("extra", F.when(within & (F.col("rest") > 0), 1).otherwise(0))
+    sure = out.where(within | beyond).withColumn("extra", F.when(within & (F.col("rest") > 0), F.col("copies")).otherwise(0).cast("long"))
     order = Window.partitionBy("source").orderBy("key", "doc_id", "text_key").rowsBetween(Window.unboundedPreceding, -1)
     edge = out.where(~within & ~beyond).withColumn("start", F.col("bin_from") + F.coalesce(F.sum("unit_size").over(order), F.lit(0)))
-    room = F.col("rest") - F.col("start")
-    near = (F.col("unit_size") <= room) | ((room > 0) & (2 * room >= F.col("unit_size")))
-    edge = edge.withColumn("extra", F.when(near, 1).otherwise(0)).drop("start")
-    return sure.unionByName(edge).withColumn("times", F.least(F.col("epochs") + F.col("extra"), F.lit(MOST_EPOCHS)))
+    # copies are drawn one by one: those that fit whole, and one more if that brings the sum nearer
+    room = F.greatest(F.col("rest") - F.col("start"), F.lit(0.0))
+    fit = F.when(F.col("size") > 0, F.least(F.floor(room / F.col("size")), F.col("copies"))).otherwise(0)
+    left = room - fit * F.col("size")
+    more = (F.col("size") > 0) & (fit < F.col("copies")) & (left > 0) & (2 * left >= F.col("size"))
+    edge = edge.withColumn("extra", (fit + more.cast("long")).cast("long")).drop("start")
+    # no source is taken more than MOST_EPOCHS times, so nothing is left to draw where epochs has reached it
+    out = sure.unionByName(edge).withColumn("extra", F.when(F.col("epochs") >= MOST_EPOCHS, 0).otherwise(F.col("extra")))
+    return out.withColumn("epochs", F.least("epochs", F.lit(MOST_EPOCHS)))
 
 
 def draw(docs: DataFrame, bins: int = BINS) -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target, taken, and source, quality, times."""
-    out = _drawn(docs, bins).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    out = _drawn(docs, bins).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    out = out.withColumn("times", F.col("epochs") + (F.col("copy") <= F.col("extra")).cast("long"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "source", "quality", "times")
 
 
 def mix(docs: DataFrame, bins: int = BINS) -> DataFrame:
     """The mixed corpus: each document as often as it is taken, with all columns of docs."""
     names = [c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)]
-    taken = _drawn(docs, bins).where("size > 0 and times > 0").select(F.col("doc_id").alias("t_id"), "text_key", F.col("times").cast("int").alias("times"))
+    taken = _drawn(docs, bins).where("size > 0 and epochs + extra > 0")
+    taken = taken.select(F.col("doc_id").alias("t_id"), "text_key", "epochs", "extra", "copies")
     rows = docs.toDF(*names).withColumn("key", F.xxhash64("text"))
     same = F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("key") == F.col("text_key"))
-    out = rows.join(taken, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return out.select(*names).toDF(*docs.columns)
+    out = rows.join(taken, same).drop("t_id", "text_key")
+    single = out.where("copies = 1").withColumn("times", F.col("epochs") + F.col("extra"))
+    # equal rows are combined before they are numbered, so a row that is repeated any number of times is one
+    again = out.where("copies > 1").groupBy(*names, "key", "epochs", "extra", "copies").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("doc_id", "key").orderBy(*(n for n in names if n not in ("doc_id", "text")), "n").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(order), F.lit(0))
+    several = again.withColumn("before", before).withColumn("times", F.col("n") * F.col("epochs") + F.greatest(F.least(F.col("extra") - F.col("before"), F.col("n")), F.lit(0)))
+    out = single.select(*names, "times").union(several.where("times > 0").select(*names, "times"))
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(*names).toDF(*docs.columns)

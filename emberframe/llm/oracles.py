@@ -1,8 +1,8 @@
-"""The corpus queries as DuckDB SQL. Language ID and BPE have none: they are tested against held-out labels and brute force."""
+"""The corpus queries as DuckDB SQL. Language ID and BPE have none: they are tested against held-out labels and the tiktoken library."""
 
 from __future__ import annotations
 
-from .mixing import BINS
+from .quality_rules import LEAST_LEFT, MIN_DOCUMENTS, OWN, SHARE
 from .url_filters import RULES
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -53,9 +53,18 @@ dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY
 base AS (SELECT d.doc_id, host, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
                 len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
          FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
-norm AS (SELECT doc_id, host, array_to_string(list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: lower(x)), ' ') AS line FROM lines),
-doclines AS (SELECT doc_id, host, list_sort(list_distinct(list(line))) AS ls FROM norm GROUP BY doc_id, host)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM base
+norm AS (SELECT doc_id, host, lower(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' ')) AS line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM lines),
+own AS (SELECT DISTINCT doc_id, host, line, words FROM norm),
+lim AS (SELECT host, greatest({MIN_DOCUMENTS}::DOUBLE, count(*) * {SHARE}::DOUBLE) AS most FROM d GROUP BY host),
+maybe AS (SELECT host, line, most FROM (SELECT host, line, count(*) AS n FROM own GROUP BY ALL) JOIN lim USING (host) WHERE n > most),
+sets AS (SELECT doc_id, host, list_sort(list(line)) AS ls, sum(words) AS total FROM own GROUP BY ALL),
+held AS (SELECT doc_id, list_sort(list(line)) AS found, sum(words) AS shared FROM own SEMI JOIN maybe USING (host, line) GROUP BY doc_id),
+names AS (SELECT doc_id, CASE WHEN total - shared <= total * {OWN}::DOUBLE THEN {{'near': true, 'ls': found}} ELSE {{'near': false, 'ls': ls}} END AS name FROM held JOIN sets USING (doc_id)),
+freq AS (SELECT host, line FROM own JOIN names USING (doc_id) JOIN maybe USING (host, line) GROUP BY host, line HAVING count(DISTINCT name) > any_value(most)),
+gone AS (SELECT doc_id, sum(words)::BIGINT AS gone FROM norm SEMI JOIN freq USING (host, line) GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (n_words - coalesce(gone, 0) < {LEAST_LEFT}::DOUBLE * n_words) AS kept, coalesce(gone, 0)::BIGINT AS n_removed_words
+FROM base LEFT JOIN gone USING (doc_id)
 """
 
 _SIZE = f"len({_WORDS})"
@@ -121,6 +130,6 @@ FROM o
 """
 
 ORACLES = {
-    "op2_url_filters": OP2, "op3_substring_dedup": OP3, "op6_mixing": OP6, "op7_chat_formatting": OP7,
+    "op2_url_filters": OP2, "op3_substring_dedup": OP3, "op5_quality_rules": OP5, "op6_mixing": OP6, "op7_chat_formatting": OP7,
     "op8_minhash_near_dedup": OP8, "op9_exact_dedup": OP9, "op10_warc_revisits": OP10,
 }

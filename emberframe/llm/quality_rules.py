@@ -11,7 +11,8 @@ operations; the lines are hashed once, into a table in the shared folder.
 Hosts: the column ``source``. Hot hosts and hot lines are pre-aggregated by (host, line, document) before any shuffle.
 
 Defined results: null text has no words and fails the base rules; a null source is a host of its own. Rows that repeat a
-doc_id with the same text get the same verdict. An empty table gives no rows; further columns pass through ``clean``.
+doc_id with the same text get the same verdict. A text is judged as one row, so the longest one has to fit a task several
+times. An empty table gives no rows; further columns pass through ``clean``.
 """
 
 from __future__ import annotations

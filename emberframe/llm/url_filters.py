@@ -7,7 +7,7 @@ component holds a blocked url and no allowed one. An explicit allow thus goes be
 All work is DataFrame operations; components are distributed, nothing of them reaches the driver.
 
 Defined results: a null url or one without ``://`` has an empty host and path, no rule and the verdict allow. Rows that
-repeat a url get the same verdict. Rules of equal length: the longer host, then allow. An empty table gives no rows.
+repeat a url get the same verdict. Urls of any length are read whole. Rules of equal length: the longer host, then allow. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -105,8 +105,12 @@ def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str]] = RULES) -> DataFrame:
-    """A list of rules as a table. Its size is known to the planner, which broadcasts it only below its threshold."""
-    return spark.createDataFrame(rules, "action string, rule string")
+    """A list of rules as a literal relation: its size is known to the planner, which broadcasts it, and never the pages, below its threshold."""
+    if not rules:
+        return spark.sql("SELECT '' AS action, '' AS rule WHERE false")
+    marks = ", ".join(f"(:a{i}, :r{i})" for i in range(len(rules)))
+    args = {f"{k}{i}": x for i, rule in enumerate(rules) for k, x in zip("ar", rule, strict=True)}
+    return spark.sql(f"SELECT * FROM VALUES {marks} AS t(action, rule)", args=args)
 
 
 def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None) -> DataFrame:

@@ -1,8 +1,9 @@
 """WARC: reading records, and resolving not-modified revisits.
 
-A revisit record (HTTP 304) has no body. It is resolved to the latest earlier full response of the same canonical url
+A revisit record of the server-not-modified profile (without a profile: of status 304) has no body. It is resolved to the latest earlier full response of the same canonical url
 (an as-of join), if its validators agree: an ETag decides, by weak comparison; without one Last-Modified must be equal;
-with neither there is nothing to check and the revisit counts as unchecked. The headers of the resolved response are
+with neither there is nothing to check and the revisit counts as unchecked. Revisits of other profiles (identical
+payloads, found by their digest and not by the server) are no not-modified answers: their result is ``other_profile``. The headers of the resolved response are
 those stored, with the fields that a 304 may update taken from the revisit.
 
 The as-of join is two-level, so that a url with a third of all records is never one task's work: time is cut into
@@ -11,7 +12,8 @@ starts with; inside a block records are ordered by time. Only those inner orderi
 
 Defined results: a revisit without an earlier response is ``unresolved``; one whose validators differ is ``mismatch``;
 both have no response. Records of the same time are ordered responses first, then by record id. Null urls or times never
-match. Null headers are an empty map. Repeated rows are records of their own. An empty table gives no rows.
+match. A revisit without status and profile counts as not modified. Null headers are an empty map; fields of any length
+are kept whole. Repeated rows are records of their own. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ from .common import by_value
 
 #: Header fields that a 304 response may update (RFC 9110, 15.4.5, and RFC 9111, 3.2).
 PERMITTED = ["age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
-RECORD = "file string, record_id string, kind string, url string, time timestamp, status int, headers map<string,string>, body binary"
+RECORD = "file string, record_id string, kind string, profile string, url string, time timestamp, status int, headers map<string,string>, body binary"
+#: Fixed value: how the profile of a not-modified revisit ends (WARC 1.0 and 1.1).
+NOT_MODIFIED = "/revisit/server-not-modified"
 
 
 def _head(block: bytes) -> tuple[bytes, dict[str, str], bytes]:
@@ -63,7 +67,11 @@ def parse_records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], b
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The response and revisit records of WARC files (plain or gzip), a file to a task, a record in memory at a time."""
+    """The response and revisit records of WARC files (plain or gzip), a file to a task.
+
+    Spark reads a file as one value, so that it opens whatever Spark can open; a file is thus at most 2 GB (the usual size is
+    1 GB) and is in a task's memory whole, decompressed a record at a time.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,7 +85,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     status = first.split(b" ")[1:2]
                     yield pa.RecordBatch.from_pydict(
                         {
-                            "file": [name], "record_id": [fields.get("warc-record-id")], "kind": [kind], "url": [fields.get("warc-target-uri", "").strip("<>") or None],
+                            "file": [name], "record_id": [fields.get("warc-record-id")], "kind": [kind], "profile": pa.array([fields.get("warc-profile", "").strip("<>") or None], pa.string()), "url": [fields.get("warc-target-uri", "").strip("<>") or None],
                             "time": pa.array([fields.get("warc-date")], pa.string()), "status": pa.array([int(status[0]) if status and status[0].isdigit() else None], pa.int32()),
                             "headers": pa.array([list(headers.items())], pa.map_(pa.string(), pa.string())), "body": pa.array([payload], pa.binary()),
                         }
@@ -120,13 +128,16 @@ def merged(old: Column, new: Column) -> Column:
 
 
 def resolve(records: DataFrame, block: str = "day") -> DataFrame:
-    """One row per revisit of records(record_id, kind, url, time, status, headers).
+    """One row per revisit of records(record_id, kind, url, time, status, headers, and profile if there is one).
 
     Returns record_id, canonical_url, time, response_id, response_time, result, headers. block: the unit of time of a block,
     to be chosen so that a url's records in one block fit a task.
     """
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    rows = canonical(records.select("record_id", "kind", "url", "time", "status", F.coalesce("headers", empty).alias("headers"))).drop("url")
+    profile = F.col("profile") if "profile" in records.columns else F.lit(None).cast("string")
+    asks = F.coalesce(profile.endswith(NOT_MODIFIED), F.coalesce("status", F.lit(304)) == 304)
+    rows = records.select("record_id", "kind", "url", "time", "status", F.coalesce("headers", empty).alias("headers"), asks.alias("asks"))
+    rows = canonical(rows).drop("url")
     rows = rows.withColumn("block", F.date_trunc(block, "time"))
     full = (F.col("kind") == "response") & (F.coalesce("status", F.lit(200)) == 200) & F.col("time").isNotNull()
     response = F.struct("time", "record_id", "headers")
@@ -140,9 +151,9 @@ def resolve(records: DataFrame, block: str = "day") -> DataFrame:
     inner = rows.withColumn("here", F.last("found", ignorenulls=True).over(within)).where(F.col("kind") == "revisit")
     out = inner.join(starts, ["canonical_url", "block"], "left")
     hit = F.coalesce("here", "from_before")
-    hit = F.when(F.col("canonical_url").isNotNull() & F.col("time").isNotNull(), hit)
-    out = out.select("record_id", "canonical_url", "time", "headers", hit.alias("hit"))
-    check = F.when(F.col("hit").isNull(), "unresolved").otherwise(validated(F.col("hit.headers"), F.col("headers")))
+    hit = F.when(F.col("asks") & F.col("canonical_url").isNotNull() & F.col("time").isNotNull(), hit)
+    out = out.select("record_id", "canonical_url", "time", "headers", "asks", hit.alias("hit"))
+    check = F.when(~F.col("asks"), "other_profile").when(F.col("hit").isNull(), "unresolved").otherwise(validated(F.col("hit.headers"), F.col("headers")))
     out = out.withColumn("result", F.when(check == "ok", "resolved").otherwise(check))
     good = F.col("result").isin("resolved", "unchecked")
     return out.select(
