@@ -18,7 +18,6 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from emberframe.llm import bpe, exact_dedup, minhash, mixing, quality_rules
@@ -73,8 +72,6 @@ def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFram
 
 
 def _finished(spark: SparkSession, path: str) -> bool:
-    """Whether a stage's folder was committed; told by Spark's reader, so on whatever file system the folder is."""
-    try:
-        return spark.read.format("binaryFile").load(f"{path}/_SUCCESS").count() == 1
-    except AnalysisException:
-        return False
+    """Whether a stage's folder was committed, told by Spark's own file system for it."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
