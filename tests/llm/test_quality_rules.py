@@ -9,8 +9,8 @@ from test_operators import docs_of, words
 from emberframe.llm import quality_rules
 
 
-def brute(rows, min_documents=20, share=0.02, own=0.04):
-    """doc_id: (n_removed_words, depleted), from plain loops over (doc_id, text, host)."""
+def frequent(rows, min_documents=20, share=0.02, own=0.04):
+    """The lines of each doc_id, and the (host, line) above the limit, from plain loops over (doc_id, text, host)."""
     lines = {i: [" ".join(x.lower().split()) for x in t.split("\n") if x.split()] for i, t, _ in rows}
     holders, size = defaultdict(list), defaultdict(int)
     for i, _, s in rows:
@@ -26,7 +26,12 @@ def brute(rows, min_documents=20, share=0.02, own=0.04):
         few = n(set(lines[i]) - held) <= own * n(set(lines[i]))
         return few, frozenset(held if few else lines[i])
 
-    gone = {k for k in maybe if len({name(i, k[0]) for i in holders[k]}) > limit(k[0])}
+    return lines, {k for k in maybe if len({name(i, k[0]) for i in holders[k]}) > limit(k[0])}
+
+
+def brute(rows):
+    """doc_id: (n_removed_words, depleted)."""
+    lines, gone = frequent(rows)
     out = {}
     for i, t, s in rows:
         lost = sum(len(x.split()) for x in lines[i] if (s, x) in gone)
@@ -89,3 +94,16 @@ def test_random_hosts(spark, seed):
             rows.append((i, text.replace(" ", "\t ") if rng.random() < 0.1 else text, f"h{host}"))
     got = check(spark, rows)
     assert copies and all(got[i].n_removed_words == 0 for i in copies)
+
+
+def test_template_with_one_own_line(spark):
+    """All of 11 lines that 500 different documents share are found."""
+    block = [words(6, 10**8 + k) for k in range(11)]
+    got = check(spark, [(i, "\n".join([*block, words(6, i)]), "h") for i in range(500)])
+    assert {r.n_removed_words for r in got.values()} == {66}
+
+
+def test_odd_rows(spark):
+    rows = [(1, None, None), (2, "", None), (3, " \n \n", "h"), (4, words(60, 4), None), (5, words(30_000, 5), "h"), (5, words(30_000, 5), "h")]
+    got = sorted((r.doc_id, r.n_words, r.kept) for r in quality_rules.judge(docs_of(spark, rows)).collect())
+    assert got == [(1, 0, False), (2, 0, False), (3, 0, False), (4, 60, True), (5, 30_000, True), (5, 30_000, True)]
