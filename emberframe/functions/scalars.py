@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .unicode import ascii_letters, casefolded
+
 #: Accented letters and their plain forms, for labels and for slugs (which know ten only).
 ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüçñÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÇÑ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuucnAAAAAAEEEEIIIIOOOOOUUUUCN"
@@ -76,15 +78,23 @@ def namespaced_id(space: str, c: Column) -> Column:
     return F.concat(F.lit(space), percent_encoded(c))
 
 
+def _words_only(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, "[^a-z0-9]+", " "))
+
+
 def label(c: Column) -> Column:
-    """Accents off, other letters beyond ASCII dropped, lower case, runs of anything else one space."""
-    plain = F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
-    return F.trim(F.regexp_replace(F.lower(plain), "[^a-z0-9]+", " "))
+    """Compatibility forms in plain ASCII, other characters dropped, lower case, runs of anything else one space."""
+    return _words_only(F.lower(ascii_letters(c)))
 
 
 def alias(c: Column) -> Column:
-    """As label, but letters that have no plain form part words."""
-    return F.trim(F.regexp_replace(F.lower(F.translate(c, ACCENTED, PLAIN)), "[^a-z0-9]+", " "))
+    """Case folded, without accents; letters that have no plain form part words."""
+    return _words_only(casefolded(c))
+
+
+def alias_parts(c: Column) -> Column:
+    """The aliases of a name's forms around slashes, blank ones left out."""
+    return F.filter(F.transform(F.split(casefolded(c), "/"), _words_only), lambda x: x != "")
 
 
 def folded(c: Column) -> Column:
@@ -126,11 +136,16 @@ def year_prefix(c: Column) -> Column:
     return F.regexp_extract(c, r"^(\d{4})", 1).try_cast("int")
 
 
+#: Fixed value: a date with or without a time and an offset, as ISO 8601 writes it with hyphens and colons.
+ISO_TIME = r"^\d{4}-\d{2}-\d{2}([T ]([01]\d|2[0-3])(:[0-5]\d(:[0-5]\d([.,]\d+)?)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+
+
 def lexical_type(c: Column) -> Column:
     t = F.trim(c)
+    a_day = t.rlike(ISO_TIME) & F.try_to_timestamp(F.substring(t, 1, 10), F.lit("yyyy-MM-dd")).isNotNull()
     return (
-        F.when(is_missing(c), "null").when(F.lower(t).isin("true", "false"), "boolean").when(t.rlike(r"^[+-]?\d+$"), "integer")
-        .when(t.rlike(r"^[+-]?\d*[.,]\d+$"), "decimal").when(t.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2})?)?$"), "datetime").otherwise("string")
+        F.when(is_missing(c), "null").when(t.isin("True", "False", "true", "false"), "boolean").when(t.rlike(r"^[+-]?\d+$"), "integer")
+        .when(t.rlike(r"^[+-]?(\d+\.\d*|\d*\.\d+)$"), "decimal").when(a_day, "datetime").otherwise("string")
     )
 
 
@@ -163,14 +178,14 @@ def bounded_int(c: Column, low: int, high: int) -> Column:
 
 
 def bilingual_signature(c: Column) -> Column:
-    """The sorted distinct labels of a name with several forms; null with one."""
-    parts = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(c, "/"), alias), lambda x: x != "")))
+    """The sorted distinct aliases of a name with several forms; null with one."""
+    parts = F.array_sort(F.array_distinct(alias_parts(c)))
     return F.when(F.size(parts) > 1, F.array_join(parts, "|"))
 
 
 def labels_meet(a: Column, b: Column) -> Column:
-    """Whether two names share a form; null if a side has none."""
-    sides = [F.filter(F.transform(F.split(c, "/"), label), lambda x: x != "") for c in (a, b)]
+    """Whether two labels share a word; null if a side has none."""
+    sides = [F.filter(F.split(F.coalesce(label(c), F.lit("")), " "), lambda x: x != "") for c in (a, b)]
     return F.when((F.size(sides[0]) > 0) & (F.size(sides[1]) > 0), F.arrays_overlap(*sides))
 
 
@@ -201,9 +216,20 @@ def canonical_json(*columns: str) -> Column:
     return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
 
 
+#: The forms of reports by first and last year.
+FORMS = [
+    (1968, 1971, "historical_form_1"), (1972, 1979, "historical_form_2"), (1980, 1982, "historical_form_3"),
+    (1983, 1988, "historical_form_4"), (1989, 1989, "historical_form_5"), (1990, 1992, "historical_form_6"),
+]
+
+
 def form_model(year: Column) -> Column:
-    """The form in use, by first year."""
-    return F.when(year < 1983, "1968").when(year < 1989, "1983").when(year < 1993, "1989").when(year < 1998, "1993").otherwise("1998")
+    return F.coalesce(*(F.when(year.between(first, last), name) for first, last, name in FORMS), F.lit("unknown"))
+
+
+def coverage_regime(year: Column) -> Column:
+    """How completely reports of a year were collected."""
+    return F.when(year <= 1979, "selective").when(year <= 1991, "transitional").when(year.isNotNull(), "systematic_or_near_systematic").otherwise("unknown")
 
 
 def gif(source: Column, forest: Column, total: Column) -> Column:
@@ -215,5 +241,9 @@ def zoom_level(zoom: Column) -> Column:
     return F.when(zoom <= 8, "overview").when(zoom <= 10, "regional").otherwise("local")
 
 
-def location_quality(point: Column, municipality: Column, sheet: Column) -> Column:
-    return F.when(point, "point").when(sheet, "map_sheet_or_grid").when(municipality, "municipality").otherwise("unknown")
+def location_quality(coordinates: Column, sheet: Column, municipality: Column, place: Column) -> Column:
+    """The best of what tells where a report was, from flags."""
+    return (
+        F.when(coordinates, "raw_coordinate_unvalidated").when(sheet, "map_sheet_or_grid").when(municipality, "municipality")
+        .when(place, "textual").otherwise("none")
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import is_missing
+from ..functions.scalars import is_missing, namespaced_id
 
 
 def identifier_profile(rows: DataFrame, column: str) -> DataFrame:
@@ -33,16 +33,61 @@ def bijection_breaks(rows: DataFrame, a: str, b: str) -> DataFrame:
     return one("a", "b").unionByName(one("b", "a"))
 
 
-def distinct_with_null(c: Column) -> Column:
-    """Distinct values where null is one."""
-    return F.count_distinct(F.struct(c))
+def differs(c: Column) -> Column:
+    """Aggregate: whether a group holds several values, where null is one. Minima and maxima combine before the shuffle."""
+    return (F.min(c) < F.max(c)) | ((F.count(c) > 0) & (F.count(c) < F.count("*")))
 
 
-def grouping_decisions(rows: DataFrame, key: str, fields: list[str], years: str) -> DataFrame:
-    """key, members, accepted, reasons: a group is one entity if it lies in one year and no field differs (null is a value)."""
-    out = rows.groupBy(key).agg(F.count("*").alias("members"), distinct_with_null(F.col(years)).alias("n_years"), *(distinct_with_null(F.col(f)).alias(f"d_{f}") for f in fields))
-    whys = F.array_compact(F.array(F.when(F.col("n_years") > 1, "several_years"), *(F.when(F.col(f"d_{f}") > 1, f"differs:{f}") for f in fields)))
-    return out.select(key, "members", (F.size(whys) == 0).alias("accepted"), F.array_join(whys, ",").alias("reasons"))
+#: Why a group of features is no single entity, and by which rule a feature got its entity.
+NOT_ONE_TO_ONE, MANY_YEARS, EVENTS_DIFFER = "identifiers are not one-to-one", "several source years", "event attributes differ"
+RULES = ("several_consistent_features", "one_to_one_identifiers", "fallback_ambiguous", "fallback_missing_identifier")
+
+
+def grouping_decisions(rows: DataFrame, key: str, partner: str, year: str, fields: list[str]) -> DataFrame:
+    """key, members, accepted, reasons, differing: a group is one entity if its identifiers pair one to one, it lies in one
+    year and no event field differs (null is a value). Rows without key belong to no group.
+    """
+    blank = is_missing(F.col(partner).cast("string"))
+    there = rows.where(~is_missing(F.col(key).cast("string")))
+    other = F.when(~blank, F.col(partner))
+    partners = there.where(~blank).groupBy(F.col(partner).alias("p")).agg((F.min(key) < F.max(key)).alias("shared"))
+    groups = there.groupBy(key).agg(
+        F.count("*").alias("members"), F.min(other).alias("p"), (F.min(other) < F.max(other)).alias("several"), differs(F.col(year)).alias("years"),
+        *(differs(F.col(f)).alias(f"d_{f}") for f in fields),
+    )
+    out = groups.join(partners, "p", "left")
+    one = F.col("p").isNotNull() & ~F.col("several") & ~F.col("shared")
+    changed = F.array_compact(F.array(*(F.when(F.col(f"d_{f}"), F.lit(f)) for f in sorted(fields))))
+    whys = F.array_compact(F.array(F.when(~F.coalesce(one, F.lit(False)), NOT_ONE_TO_ONE), F.when(F.col("years"), MANY_YEARS), F.when(F.size(changed) > 0, EVENTS_DIFFER)))
+    return out.select(key, "members", (F.size(whys) == 0).alias("accepted"), whys.alias("reasons"), changed.alias("differing"))
+
+
+def assignments(rows: DataFrame, decisions: DataFrame, key: str, locator: list[str]) -> DataFrame:
+    """rows with fire_id, linkage_rule and ambiguous: of its group if that was accepted, else of its own by its locator.
+
+    The left join keeps rows without key, which have no group; every locator gets exactly one entity.
+    """
+    own = F.concat_ws(":", F.lit("gva:source-feature"), *(F.col(c).cast("string") for c in locator))
+    out = rows.join(decisions.select(key, "members", "accepted"), key, "left")
+    good = F.coalesce("accepted", F.lit(False))
+    rule = F.when(good & (F.col("members") > 1), RULES[0]).when(good, RULES[1]).when(F.col("accepted").isNotNull(), RULES[2]).otherwise(RULES[3])
+    fire = F.when(good, namespaced_id("gva:fire:", F.col(key).cast("string"))).otherwise(own)
+    return out.select(*rows.columns, fire.alias("fire_id"), rule.alias("linkage_rule"), (~good).alias("ambiguous"))
+
+
+def discrepancies(decisions: DataFrame, key: str, kinds: dict[str, list[str]]) -> DataFrame:
+    """kind, key: groups of several rows in which a field of that kind differs."""
+    wide = decisions.where("members > 1")
+    told = F.array_compact(F.array(*(F.when(F.arrays_overlap("differing", F.array(*(F.lit(f) for f in fields))), F.lit(kind)) for kind, fields in kinds.items())))
+    return wide.select(F.explode(told).alias("kind"), key)
+
+
+def joined_once(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The 1:1 join on keys, and its violations: problem, keys, n (repeated on a side, or without partner)."""
+    again = lambda rows, side: rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(F.lit(f"repeated {side}").alias("problem"), *keys, "n")
+    alone = lambda a, b, side: a.join(b.select(*keys).distinct(), keys, "left_anti").groupBy(*keys).agg(F.count("*").alias("n")).select(F.lit(f"only {side}").alias("problem"), *keys, "n")
+    bad = again(left, "left").unionByName(again(right, "right")).unionByName(alone(left, right, "left")).unionByName(alone(right, left, "right"))
+    return left.join(right, keys), bad
 
 
 def occurrence_ordinals(rows: DataFrame, same: list[str], order: list[str]) -> DataFrame:
@@ -56,11 +101,18 @@ def representative(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__n = 1").drop("__n")
 
 
-def report_identity(rows: DataFrame, number: str, province: str) -> DataFrame:
-    """Adds report_id and id_method: the number where it has ten digits, its province and no second holder; else a hash."""
+def report_identity(rows: DataFrame, number: str, province: str, year: str, database: str, index: str) -> DataFrame:
+    """Adds fire_id and identity_status: the report number where it has ten digits, begins with its year and province and has
+    no second holder; else a digest of province, number, database id and the row's place in the source, which never collide.
+
+    Repeated numbers are counted first and joined, so that the many rows without one are nobody's window.
+    """
     c = F.col(number)
-    alone = F.count("*").over(Window.partitionBy(number)) == 1
-    good = c.rlike(r"^\d{10}$") & (F.substring(c, 5, 2) == F.lpad(F.col(province).cast("string"), 2, "0"))
-    basis = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(x).cast("string"), F.lit("None")) for x in (number, province))), 256)
-    method = F.when(good & alone, "number").when(good, "ambiguous").otherwise("hash")
-    return rows.withColumn("id_method", method).withColumn("report_id", F.when(F.col("id_method") == "number", F.concat(F.lit("egif-record:"), c)).otherwise(F.concat(F.lit("egif-record:"), F.substring(basis, 1, 20))))
+    repeated = rows.where(c.isNotNull()).groupBy(c.alias("__number")).agg(F.count("*").alias("__n")).where("__n > 1")
+    out = rows.join(repeated, c == F.col("__number"), "left")
+    fits = c.rlike(r"^\d{10}$") & (F.substring(c, 1, 4).try_cast("int") == F.col(year)) & (F.substring(c, 5, 2) == F.col(province))
+    good = F.coalesce(fits, F.lit(False)) & F.col("__n").isNull()
+    basis = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(x).cast("string"), F.lit("None")) for x in (province, number, database, index))), 256)
+    # fixed values: the name space and the names of the two cases
+    fire = F.concat(F.lit("egif-record:"), F.when(good, c).otherwise(F.substring(basis, 1, 20)))
+    return out.select(*rows.columns, fire.alias("fire_id"), F.when(good, "source_record_only").otherwise("ambiguous").alias("identity_status"))

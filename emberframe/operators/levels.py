@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.shapes import hausdorff_distance, simplify_rings
+from .quality import quantiles
 
 
 def _area(rings: str):  # noqa: ANN202
@@ -30,10 +31,15 @@ def level(shapes: DataFrame, tolerance: float, most_error: float) -> DataFrame:
 
 def recommended(metrics: DataFrame, wanted: dict[str, float]) -> DataFrame:
     """level, tolerance, vertices; a wanted tolerance that was not measured is an error in the row."""
-    dim = metrics.sparkSession.createDataFrame(list(wanted.items()), "level string, tolerance double")
+    dim = metrics.sparkSession.sql("SELECT * FROM VALUES " + ", ".join(f"(:l{i}, {float(t)}D)" for i, t in enumerate(wanted.values())) + " AS t(level, tolerance)", args={f"l{i}": k for i, k in enumerate(wanted)})
     sums = metrics.groupBy("tolerance").agg(F.sum("after").alias("vertices"))
     return dim.join(sums, "tolerance", "left").withColumn("problem", F.when(F.col("vertices").isNull(), "tolerance not measured"))
 
 
 def partition_sizes(rows: DataFrame, by: list[str], size: str) -> DataFrame:
-    return rows.groupBy(*by).agg(F.count("*").alias("files"), F.sum(size).alias("total"), F.max(size).alias("largest"), F.min(size).alias("smallest"), F.percentile(size, 0.5).alias("median"))
+    out = rows.groupBy(*by).agg(F.count("*").alias("files"), F.sum(size).alias("total"), F.max(size).alias("largest"), F.min(size).alias("smallest"))
+    middle = quantiles(rows.select(*by, F.col(size).cast("double").alias("value")), by, [0.5])
+    same = F.lit(True)
+    for c in by:
+        same &= out[c].eqNullSafe(middle[c])
+    return out.join(middle, same, "left").select(*(out[c] for c in by), "files", "total", "largest", "smallest", F.col("q0").alias("median"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_missing
@@ -21,16 +21,58 @@ def completeness(rows: DataFrame, column: str) -> DataFrame:
 
 
 def distribution(rows: DataFrame, column: str, by: list[str]) -> DataFrame:
-    """Exact quantiles with linear interpolation."""
+    """Exact quantiles with linear interpolation, at any number of values a group."""
     points = [0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
-    out = rows.groupBy(*by).agg(F.count(column).alias("n"), F.min(column).alias("least"), F.max(column).alias("most"), F.avg(column).alias("mean"), F.percentile(column, points).alias("q"))
-    return out.select(*by, "n", F.round("least", 6).alias("least"), F.round("most", 6).alias("most"), F.round("mean", 6).alias("mean"), *(F.round(F.get("q", F.lit(i)), 6).alias(f"p{int(p * 100)}") for i, p in enumerate(points)))
+    values = rows.select(*by, F.col(column).cast("double").alias("value"))
+    out = values.groupBy(*by).agg(F.count("value").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.avg("value").alias("mean"))
+    found = quantiles(values, by, points)
+    same = F.lit(True)
+    for c in by:
+        same &= out[c].eqNullSafe(found[c])
+    six = lambda c: F.round(c, 6).alias(c)
+    return out.join(found, same, "left").select(*(out[c] for c in by), "n", six("least"), six("most"), six("mean"), *(F.round(f"q{i}", 6).alias(f"p{int(p * 100)}") for i, p in enumerate(points)))
+
+
+def quantiles(values: DataFrame, by: list[str], points: list[float], bins: int = 256) -> DataFrame:
+    """by and q0, q1, ..: exact quantiles of value, interpolated. No task holds the values of a group.
+
+    Equal values are counted first. Approximate quantiles part each group's range into bins; counts of bins tell which bins
+    hold the wanted ranks, and only those are ordered, each by itself.
+    """
+    counts = values.where("value is not null").groupBy(*by, "value").agg(F.count("*").alias("m"))
+    parts = values.groupBy(*by).agg(F.count("value").alias("n"), F.percentile_approx("value", [i / bins for i in range(1, bins)], 4 * bins).alias("ends")).where("n > 0")
+    keys = [f"k{i}" for i in range(len(by))]
+    parts = parts.toDF(*keys, "n", "ends")
+    same = F.lit(True)
+    for c, k in zip(by, keys, strict=True):
+        same &= F.col(c).eqNullSafe(F.col(k))
+    # a value that is itself an end comes into the bin below it, so equal values share one
+    binned = counts.join(parts, same).select(*keys, "n", "value", "m", F.size(F.filter("ends", lambda e: e < F.col("value"))).alias("bin"))
+    sums = binned.groupBy(*keys, "n", "bin").agg(F.sum("m").alias("held"))
+    before = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("start", F.coalesce(F.sum("held").over(before), F.lit(0)))
+    ranks = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(p).alias("p"), side.cast("long").alias("rank")) for i, p in enumerate(points) for side in (F.floor(F.lit(p) * (F.col("n") - 1)), F.ceil(F.lit(p) * (F.col("n") - 1)))))
+    wanted = sums.select(*keys, "n", "bin", "start", "held", F.explode(ranks).alias("r")).where("r.rank >= start and r.rank < start + held").distinct()
+    within = Window.partitionBy(*keys, "bin").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    need = wanted.select(*(F.col(k).alias(f"w{k}") for k in keys), F.col("bin").alias("wbin"), "start").distinct()
+    at = F.col("bin") == F.col("wbin")
+    for k in keys:
+        at &= F.col(k).eqNullSafe(F.col(f"w{k}"))
+    placed = binned.join(need, at).withColumn("first", F.col("start") + F.coalesce(F.sum("m").over(within), F.lit(0))).select(*keys, "bin", "value", "m", "first")
+    asked = wanted.select(*(F.col(k).alias(f"w{k}") for k in keys), F.col("bin").alias("wbin"), "n", "r")
+    hits = placed.join(asked, at).where((F.col("r.rank") >= F.col("first")) & (F.col("r.rank") < F.col("first") + F.col("m")))
+    ends = hits.groupBy(*keys, "n", F.col("r.i").alias("i"), F.col("r.p").alias("p")).agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    place = F.col("p") * (F.col("n") - 1)
+    value = F.col("low") + (F.col("high") - F.col("low")) * (place - F.floor(place))
+    wide = ends.groupBy(*keys).agg(*(F.max(F.when(F.col("i") == i, value)).alias(f"q{i}") for i in range(len(points))))
+    return wide.toDF(*by, *(f"q{i}" for i in range(len(points))))
 
 
 def anomalies(rows: DataFrame, ident: str, rules: dict[str, Column]) -> DataFrame:
     """rule, n, records: every rule has a row, also without a hit."""
     hits = rows.select(F.col(ident).alias("id"), F.explode(F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in rules.items())))).alias("rule"))
-    axis = rows.sparkSession.createDataFrame([(k,) for k in rules], "rule string")
+    # the names as a literal relation, whose size the planner knows
+    axis = rows.sparkSession.sql("SELECT * FROM VALUES " + ", ".join(f"(:r{i})" for i in range(len(rules))) + " AS t(rule)", args={f"r{i}": k for i, k in enumerate(rules)})
     return axis.join(hits.groupBy("rule").agg(F.count("*").alias("n"), F.count_distinct("id").alias("records")), "rule", "left").na.fill(0, ["n", "records"])
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +17,13 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float) -> D
     """
     boxed = polygons.withColumn("box", G.bounds(F.col("ring")))
     step = lambda a, b: F.sequence(F.floor(F.col(f"box.{a}") / cell), F.floor(F.col(f"box.{b}") / cell))
-    cells = boxed.withColumn("cx", F.explode(step("min_x", "max_x"))).withColumn("cy", F.explode(step("min_y", "max_y")))
+    cells = boxed.select("code", "box", F.explode(step("min_x", "max_x")).alias("cx"))
+    cells = cells.withColumn("cy", F.explode(step("min_y", "max_y")))
     placed = points.withColumns({"cx": F.floor(F.col("px") / cell), "cy": F.floor(F.col("py") / cell)})
-    hits = placed.join(cells, ["cx", "cy"]).where(G.covers(F.col("px"), F.col("py"), F.col("ring")))
+    in_box = F.col("px").between(F.col("box.min_x"), F.col("box.max_x")) & F.col("py").between(F.col("box.min_y"), F.col("box.max_y"))
+    # rings are fetched only for points in their box
+    near = placed.join(cells, ["cx", "cy"]).where(in_box).select("point_id", "px", "py", "code")
+    hits = near.join(polygons.select("code", "ring"), "code").where(G.covers(F.col("px"), F.col("py"), F.col("ring")))
     return hits.groupBy("point_id").agg(F.min("code").alias("code"))
 
 
@@ -25,4 +31,8 @@ def within_radius(points: DataFrame, lon: float, lat: float, metres: float) -> D
     """points(lon, lat) at most metres away, by a box that the scan can push down, then the great circle."""
     dlat = metres / 111000.0
     near = points.where(F.col("lat").between(lat - dlat, lat + dlat))
+    if abs(lat) + dlat < 89:  # nearer to a pole every longitude may be in reach; the date line is not crossed by the box
+        dlon = dlat / math.cos(math.radians(abs(lat) + dlat))
+        if -180 <= lon - dlon and lon + dlon <= 180:
+            near = near.where(F.col("lon").between(lon - dlon, lon + dlon))
     return near.withColumn("distance", G.haversine(F.lit(lon), F.lit(lat), F.col("lon"), F.col("lat"))).where(F.col("distance") <= metres)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import scalars as S
-from ..operators import duplicates, history, identity, levels, linking, quality, spatial, views, vocab
+from ..operators import duplicates, history, identity, levels, linking, quality, spatial, views
 from ..sources import readers, writers
 from ..streaming import windows
 
@@ -107,14 +107,6 @@ def cross_year_repeat(spark: SparkSession, d: str) -> DataFrame:
     return identity.cross_year_repeats(read(spark, d, "orders"), "o_custkey", F.year("o_orderdate"))
 
 
-@query("""WITH g AS (SELECT l_orderkey, count(*) AS members, count(DISTINCT coalesce(year(l_shipdate), -1)) AS y, count(DISTINCT coalesce(l_returnflag, '?')) AS a, count(DISTINCT coalesce(nullif(l_linestatus, 'O'), '?')) AS b FROM lineitem GROUP BY 1)
-SELECT l_orderkey, members, y = 1 AND a = 1 AND b = 1 AS accepted,
- array_to_string(list_filter([CASE WHEN y > 1 THEN 'several_years' END, CASE WHEN a > 1 THEN 'differs:flag' END, CASE WHEN b > 1 THEN 'differs:status' END], lambda x: x IS NOT NULL), ',') AS reasons FROM g""")
-def identity_grouping(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("flag"), F.nullif("l_linestatus", F.lit("O")).alias("status"), F.year("l_shipdate").alias("y"))
-    return identity.grouping_decisions(rows, "l_orderkey", ["flag", "status"], "y")
-
-
 @query("SELECT page_id, 'fire:' || url_encode(url) AS fire_id FROM pages")
 def fallback_ids(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", S.namespaced_id("fire:", F.col("url")).alias("fire_id"))
@@ -189,33 +181,38 @@ def clock_anomalies(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("hour").agg(F.count("*").alias("n"), F.count_if(S.clock_invalid(F.col("t"))).alias("invalid"))
 
 
-@query("""WITH d AS (SELECT doc_id, substr(string_split(text, chr(10))[1], 1, 80) AS t FROM documents)
-SELECT doc_id, trim(regexp_replace(lower(strip_accents(regexp_replace(t, '[ßªº«»¿¡·’‘“”—–…€]', '', 'g'))), '[^a-z0-9]+', ' ', 'g')) AS label FROM d""")
-def label_normalise(spark: SparkSession, d: str) -> DataFrame:
-    head = F.substring(F.get(F.split("text", "\n"), F.lit(0)), 1, 80)
-    return read(spark, d, "documents").select("doc_id", S.label(head).alias("label"))
+_LABEL_SQL = """trim(regexp_replace(lower(regexp_replace(replace(replace(replace(strip_accents(text), 'ª', 'a'), 'º', 'o'), '…', '...'), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g'))"""
 
 
-@query("""SELECT doc_id, trim(regexp_replace(lower(regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g')) AS label FROM documents""")
-def label_whole_texts(spark: SparkSession, d: str) -> DataFrame:
-    """As label_normalise, of all lines of a text in their full length."""
+@query(f"SELECT doc_id, {_LABEL_SQL} AS label FROM documents")
+def label_normalise(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of whole texts; the letters that NFKD changes beyond accents are told one by one in the SQL."""
     return read(spark, d, "documents").select("doc_id", S.label(F.col("text")).alias("label"))
 
 
+@query("""SELECT doc_id, trim(regexp_replace(lower(replace(replace(replace(replace(strip_accents(text), 'ß', 'ss'), 'ª', 'a'), 'º', 'o'), '…', '...')), '[^a-z0-9]+', ' ', 'g')) AS alias FROM documents""")
+def alias_normalise(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", S.alias(F.col("text")).alias("alias"))
+
+
 @query("""SELECT n_name, year, trim(regexp_replace(lower(n_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, CASE WHEN year < 2000 THEN '1993-1999' ELSE '2000-2009' END AS block,
- CASE WHEN year < 1998 THEN '1993' ELSE '1998' END AS model FROM nation, (SELECT DISTINCT year(o_orderdate)::INT AS year FROM orders)""")
+ CASE WHEN year - 25 <= 1971 THEN 'historical_form_1' WHEN year - 25 <= 1979 THEN 'historical_form_2' END AS model FROM nation, (SELECT DISTINCT year(o_orderdate)::INT AS year FROM orders)""")
 def province_partition(spark: SparkSession, d: str) -> DataFrame:
     years = read(spark, d, "orders").select(F.year("o_orderdate").alias("year")).distinct()
     rows = read(spark, d, "nation").crossJoin(F.broadcast(years))  # a fixed table of nations and a few years
-    return rows.select("n_name", "year", S.province_partition(F.col("n_name")).alias("slug"), S.temporal_block(F.col("year")).alias("block"), S.form_model(F.col("year")).alias("model"))
+    return rows.select("n_name", "year", S.province_partition(F.col("n_name")).alias("slug"), S.temporal_block(F.col("year")).alias("block"), S.form_model(F.col("year") - 25).alias("model"))
+
 
+_TOKENS = [
+    (None, "null"), ("  ", "null"), ("True", "boolean"), ("false", "boolean"), ("TRUE", "string"), ("+12", "integer"), ("5,5", "string"), ("5.", "decimal"), ("-.5", "decimal"), (".", "string"),
+    ("2024-01-05T10:00", "datetime"), ("2024-01-05 10:00:01+02:00", "datetime"), ("2024-02-30", "string"), ("2024-01-05T25:00", "string"), (" 2024-01-05 ", "datetime"), ("12a", "string"),
+]
 
-@query("""WITH v AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'TRUE' WHEN 2 THEN event_id::VARCHAR WHEN 3 THEN event_id || ',5' WHEN 4 THEN '2024-01-05T10:00' ELSE event_type END AS t FROM events)
-SELECT CASE event_id % 6 WHEN 0 THEN 'null' WHEN 1 THEN 'boolean' WHEN 2 THEN 'integer' WHEN 3 THEN 'decimal' WHEN 4 THEN 'datetime' ELSE 'string' END AS kind, count(*) AS n FROM v GROUP BY 1""")
+
+@query("WITH v(k, kind) AS (VALUES " + ", ".join(f"({i}, '{kind}')" for i, (_, kind) in enumerate(_TOKENS)) + f") SELECT kind, count(*) AS n FROM events JOIN v ON event_id % {len(_TOKENS)} = k GROUP BY 1")
 def lexical_types(spark: SparkSession, d: str) -> DataFrame:
-    e = F.col("event_id")
-    t = F.when(e % 6 == 1, "TRUE").when(e % 6 == 2, e.cast("string")).when(e % 6 == 3, F.concat(e, F.lit(",5"))).when(e % 6 == 4, "2024-01-05T10:00").when(e % 6 == 5, F.col("event_type"))
-    return read(spark, d, "events").groupBy(S.lexical_type(t).alias("kind")).agg(F.count("*").alias("n"))
+    token = F.get(F.array(*(F.lit(t).cast("string") for t, _ in _TOKENS)), (F.col("event_id") % len(_TOKENS)).cast("int"))
+    return read(spark, d, "events").groupBy(S.lexical_type(token).alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query("""SELECT l_returnflag, count(*) AS n, round(min(l_extendedprice), 6) AS least, round(max(l_extendedprice), 6) AS most, round(avg(l_extendedprice), 6) AS mean,
@@ -333,15 +330,6 @@ def mercator(spark: SparkSession, d: str) -> DataFrame:
     return points(spark, d).select("point_id", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
 
 
-@query(f"""WITH {POINTS} SELECT point_id, true AS back FROM points""")
-def utm_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    x, y = 400000 + F.col("px") * 300, 4200000 + F.col("py") * 300
-    lon, lat = G.utm_to_wgs84(x, y)
-    rows = points(spark, d).select("point_id", x.alias("x"), y.alias("y"), lon.alias("lon"), lat.alias("lat"))
-    bx, by = G.wgs84_to_utm(F.col("lon"), F.col("lat"))
-    return rows.select("point_id", ((F.abs(bx - F.col("x")) < 1e-3) & (F.abs(by - F.col("y")) < 1e-3)).alias("back"))
-
-
 @query("""WITH t AS (SELECT p_partkey, list_transform(range(5), lambda i: (p_partkey * (i + 3) % 11)::VARCHAR) AS t FROM part), r AS (SELECT p_partkey, t, list_reverse(t) AS u FROM t)
 SELECT p_partkey, list_min(list_concat(list_transform(range(5), lambda i: array_to_string(list_concat(t[i + 1:], t[:i]), ';')), list_transform(range(5), lambda i: array_to_string(list_concat(u[i + 1:], u[:i]), ';')))) AS signature FROM r""")
 def ring_signature(spark: SparkSession, d: str) -> DataFrame:
@@ -350,33 +338,6 @@ def ring_signature(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("p_partkey", G.small_ring_signature(F.concat("t", F.slice("t", 1, 1))).alias("signature"))
 
 
-@query("""WITH c AS (SELECT DISTINCT n_name AS raw, r_name AS province, n_nationkey AS k FROM nation JOIN region ON n_regionkey = r_regionkey)
-SELECT CASE WHEN k % 4 = 3 THEN 'NOWHERE ' || raw WHEN k % 4 = 1 THEN lower(raw) || ' / ' || raw ELSE raw END AS raw, province, CASE WHEN k % 4 <> 3 THEN k::VARCHAR END AS id,
- CASE WHEN k % 4 = 3 THEN 'unresolved' WHEN k % 4 = 1 THEN 'component' ELSE 'official_alias' END AS method FROM c""")
-def municipality_resolve(spark: SparkSession, d: str) -> DataFrame:
-    return _resolved(spark, d).select("raw", "province", "id", "method")
-
-
-def _resolved(spark: SparkSession, d: str) -> DataFrame:
-    named = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    k, n = F.col("n_nationkey"), F.col("n_name")
-    names = named.select(k.cast("string").alias("id"), F.col("r_name").alias("province"), n.alias("name"))
-    text = F.when(k % 4 == 3, F.concat(F.lit("NOWHERE "), n)).when(k % 4 == 1, F.concat(F.lower(n), F.lit(" / "), n)).otherwise(n)
-    raw = named.select(text.alias("raw"), F.col("r_name").alias("province"), F.lit(None).cast("string").alias("source_id"))
-    return vocab.resolve(raw, names)
-
-
-@query("""SELECT 'NOWHERE ' || n_name AS raw, count(*) AS records, count(DISTINCT n_regionkey) AS provinces, 'review' AS advice FROM nation WHERE n_nationkey % 4 = 3 GROUP BY 1""")
-def unresolved_audit(spark: SparkSession, d: str) -> DataFrame:
-    return vocab.unresolved_audit(_resolved(spark, d))
-
-
-@query("""SELECT r_name AS province, count(DISTINCT n_name) AS labels, count(*) FILTER (WHERE n_nationkey % 4 <> 3) AS resolved, count(*) FILTER (WHERE n_nationkey % 4 = 3) AS unresolved, grouping(r_name) = 1 AS total
-FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY GROUPING SETS ((r_name), ())""")
-def vocabulary_summary(spark: SparkSession, d: str) -> DataFrame:
-    return vocab.vocabulary_summary(_resolved(spark, d))
-
-
 @query("""SELECT o_orderpriority AS cause, CASE o_orderpriority WHEN '1-URGENT' THEN '100' WHEN '2-HIGH' THEN '400' WHEN '3-MEDIUM' THEN '500' END AS code,
  CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'known' ELSE 'unknown' END AS status, count(*) AS n FROM orders GROUP BY ALL""")
 def cause_map(spark: SparkSession, d: str) -> DataFrame:
@@ -401,9 +362,13 @@ def bounds_rollup(spark: SparkSession, d: str) -> DataFrame:
 m AS (SELECT *, max(contains(lower(line), 'license')::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM l)
 SELECT doc_id, i::INT AS i, md5(line) AS line FROM m WHERE near = 1""")
 def context_lines(spark: SparkSession, d: str) -> DataFrame:
-    lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
-    near = F.max(F.contains(F.lower("line"), F.lit("license")).cast("int")).over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(-2, 2))
-    return lines.withColumn("near", near).where("near = 1").select("doc_id", "i", F.md5("line").alias("line"))
+    """Texts without the term are dropped first; a text's lines stay in one row, so nothing is shuffled."""
+    texts = read(spark, d, "documents").where(F.contains(F.lower("text"), F.lit("license")))
+    rows = texts.select("doc_id", F.split("text", "\n", -1).alias("lines"))
+    hits = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.contains(F.lower(F.get("lines", i)), F.lit("license")))
+    near = F.array_distinct(F.flatten(F.transform(hits, lambda i: F.sequence(F.greatest(i - 2, F.lit(0)), F.least(i + 2, F.size("lines") - 1)))))
+    out = rows.withColumn("i", F.explode(near))
+    return out.select("doc_id", "i", F.md5(F.get("lines", F.col("i"))).alias("line"))
 
 
 @query("""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<a href="([^"]*)"'))::INT AS links, nullif(regexp_extract(html, '<meta charset="([^"]*)"', 1), '') AS charset FROM pages""")
@@ -412,11 +377,11 @@ def html_fields(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", F.regexp_extract(h, "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all(h, F.lit('<a href="([^"]*)"'), F.lit(1))).alias("links"), F.nullif(F.regexp_extract(h, '<meta charset="([^"]*)"', 1), F.lit("")).alias("charset"))
 
 
-@query("""WITH p AS (SELECT event_id, event_type, unnest(json_keys(props)) AS path, props FROM events) SELECT path, event_type, count(DISTINCT event_id) AS records FROM p WHERE json_extract_string(props, '$."' || path || '"') IS NOT NULL GROUP BY ALL""")
+@query("""WITH p AS (SELECT event_id, event_type, unnest(json_keys(props)) AS path, props FROM events) SELECT path, event_type, count(DISTINCT event_id) AS records, 'integer' AS types FROM p WHERE json_extract_string(props, '$."' || path || '"') IS NOT NULL GROUP BY ALL""")
 def json_paths(spark: SparkSession, d: str) -> DataFrame:
     events = read(spark, d, "events")
     paths = history.leaf_paths(events, "event_id", "props").join(events.select("event_id", "event_type"), "event_id")
-    return history.schema_matrix(paths, "event_type", "event_id").drop("types")
+    return history.schema_matrix(paths, "event_type", "event_id")
 
 
 @query("""SELECT month(ts)::INT AS "group", count(*) AS n, count(DISTINCT user_id || '/' || event_type) AS visible, min(ts) AS first_day, max(ts) AS last_day, round(sum(value), 4) AS area FROM events GROUP BY 1""")
@@ -436,24 +401,6 @@ def level_selection(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(S.zoom_level(F.col("customer") % 21).alias("level")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'hash' ELSE 'number' END AS id_method FROM orders""")
-def identity_reports(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    number = F.concat(F.lit("1992"), F.lpad((k % 50).cast("string"), 2, "0"), F.lpad(k.cast("string"), 4, "0"))
-    number = F.when(k > 9999, F.concat(F.lit("19"), F.lpad(F.floor(k / 10000).cast("string"), 2, "0"), F.lpad((k % 50).cast("string"), 2, "0"), F.lpad((k % 10000).cast("string"), 4, "0"))).otherwise(number)
-    rows = read(spark, d, "orders").select(k, F.when(k % 3 == 0, F.concat(F.lit("x"), k)).otherwise(number).alias("number"), (k % 50).alias("province"))
-    return identity.report_identity(rows, "number", "province").select("o_orderkey", "id_method")
-
-
-@query("""WITH g AS (SELECT substr(sha256(text), 1, 16) AS group_id, count(*) AS members, max(n_chars) AS size FROM documents GROUP BY sha256(text) HAVING count(*) > 1),
-r AS (SELECT group_id, 0 AS rule, 'large' AS reason, row_number() OVER (ORDER BY members DESC, group_id) AS place FROM g WHERE members >= 3 UNION ALL SELECT * FROM (SELECT group_id, 1, 'long', row_number() OVER (ORDER BY members DESC, group_id) AS p FROM g WHERE size > 2000) WHERE p <= 8)
-SELECT group_id, string_agg(reason, ',' ORDER BY rule) AS reasons FROM r GROUP BY 1 ORDER BY min((rule, place)) LIMIT 20""")
-def representative_groups(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.count("*").alias("members"), F.max("n_chars").alias("size")).where("members > 1")
-    groups = docs.select(F.substring("h", 1, 16).alias("group_id"), "members", "size")
-    return duplicates.selections(groups, [("large", F.col("members") >= 3, None), ("long", F.col("size") > 2000, 8)], [F.col("members").desc(), F.col("group_id")], 20)
-
-
 @query(f"""WITH {RECORDS}, c AS (SELECT year, source, count(DISTINCT entity) AS n FROM records GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY year) AS total FROM c)
 SELECT year, source, n, round(n / total, 6) AS share, round(100 * total / max(total) OVER (), 6) AS height FROM t""")
 def bar_shares(spark: SparkSession, d: str) -> DataFrame:
@@ -508,7 +455,7 @@ def simplify_levels(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("tolerance").agg(F.sum("before").alias("before"), F.sum("after").alias("after"), F.round(F.max("area_error"), 9).alias("worst_area"), F.round(F.max("hausdorff"), 9).alias("worst_distance"))
 
 
-@query()
+@query("WITH n AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT count(*) AS records, sum(n)::BIGINT AS entries, max(n)::INT AS most FROM n")
 def xml_repeated_child(spark: SparkSession, d: str) -> DataFrame:
     """Reports as XML with repeated children, read back."""
     line = F.format_string("<monte><parte>%d</parte><valor>%s</valor></monte>", F.col("l_partkey"), F.col("l_quantity").cast("string"))
@@ -529,3 +476,6 @@ SELECT a.year, coalesce(layers, 0) AS layers, CASE WHEN layers IS NULL THEN 'gap
 def annual_layers(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "orders").where(F.year("o_orderdate") != 1998).select(F.col("o_orderstatus").alias("layer_id"), F.concat(F.lit("Incendios "), F.year("o_orderdate")).alias("name")).distinct()
     return readers.annual_layers(rows)
+
+
+from . import records as _records  # noqa: E402, F401  (its queries join these)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import re
+import unicodedata
 import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -71,15 +72,19 @@ class _Table(HTMLParser):
 
 
 def html_rows(raw: str, ident: str, header: list[str]) -> list[list[str]]:
-    """The rows below the header; a missing table, another header or a ragged row is an error."""
+    """The rows below the header, without empty ones; a missing table, another header, no row or a ragged one is an error."""
     parser = _Table(ident)
     parser.feed(raw)
-    plain = lambda row: [re.sub(r"[^a-z0-9]+", " ", x.lower()).strip() for x in row]
-    if not parser.rows or plain(parser.rows[0]) != plain(header):
+    ascii_of = lambda x: unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode().lower()
+    plain = lambda row: [re.sub(r"[^a-z0-9]+", " ", ascii_of(x)).strip() for x in row]
+    found = [r for r in parser.rows if r]
+    if not found or plain(found[0]) != plain(header):
         raise ValueError(f"table {ident}: the header differs")
-    if any(len(r) != len(header) for r in parser.rows[1:]):
+    if not found[1:]:
+        raise ValueError(f"table {ident}: no rows")
+    if any(len(r) != len(header) for r in found[1:]):
         raise ValueError(f"table {ident}: a ragged row")
-    return parser.rows[1:]
+    return found[1:]
 
 
 def html_table(spark: SparkSession, path: str, ident: str, header: list[str]) -> DataFrame:
@@ -131,6 +136,7 @@ def file_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def annual_layers(layers: DataFrame) -> DataFrame:
     """year, layers, problem for layers(layer_id, name): one named layer per year, gaps and repeats told."""
+    # fixed value: how the source titles a year's layer
     named = layers.select("layer_id", F.regexp_extract("name", r"^Incendios\s+((?:19|20)\d{2})\b", 1).try_cast("int").alias("year")).where("year is not null")
     counts = named.groupBy("year").agg(F.count("*").alias("layers"))
     axis = counts.agg(F.explode(F.sequence(F.min("year"), F.max("year"))).alias("year"))

@@ -64,6 +64,20 @@ def test_validity():
     assert shapes.reason([[[0, 0], [1, 1], [2, 2], [0, 0]]]) == "zero_area"
 
 
+def test_invalid_shapes():
+    shell = [[0, 0], [0, 10], [10, 10], [10, 0], [0, 0]]
+    moved = lambda ring, dx, dy=0: [[x + dx, y + dy] for x, y in ring]
+    hole = lambda a, b: [[a, a], [b, a], [b, b], [a, b], [a, a]]
+    assert shapes.reason([shell, hole(2, 4)]) == "valid" and shapes.reason([shell, moved(shell, 20)]) == "valid"
+    assert shapes.reason([shell, hole(8, 12)]) == "hole_crosses_ring"
+    assert shapes.reason([shell, moved(shell, 5, 5)]) == "overlapping_shells"
+    assert shapes.reason([shell, [[2, 2], [2, 4], [4, 4], [4, 2], [2, 2]]]) == "nested_shells"
+    assert shapes.reason([shell, hole(2, 8), [[4, 4], [4, 6], [6, 6], [6, 4], [4, 4]]]) == "valid"
+    assert shapes.reason([[[0, 0], [0, 10], [0, 15], [0, 10], [10, 10], [10, 0], [0, 0]]]) == "self_intersection"
+    assert shapes.reason([[[0, 0], [0, 10], [5, 0], [10, 10], [10, 0], [0, 0]]]) == "self_intersection"
+    assert shapes.reason([[[0, 0], [0, 0], [0, 10], [10, 10], [10, 0], [0, 0]]]) == "valid"
+
+
 def test_simplify_keeps_ends():
     ring = np.array([[np.cos(-a), np.sin(-a)] for a in np.linspace(0, 2 * np.pi, 100)])
     ring[-1] = ring[0]
@@ -78,22 +92,24 @@ def test_resolve(spark):
         [("Elx", "alicante", None), ("ELCHE", "alicante", None), ("Elche/Elx", "alicante", None), ("Elx", "valencia", None), ("Ademuz", None, None), ("x", "alicante", "03065"), ("", "alicante", None), (None, None, None)],
         "raw string, province string, source_id string",
     )
-    got = {(r.raw, r.province): (r.id, r.method) for r in vocab.resolve(raw, names).collect()}
+    got = {(r.raw, r.province): (r.id, r.method or r.status) for r in vocab.resolve(raw, names).collect()}
     assert got["Elx", "alicante"] == got["ELCHE", "alicante"] == ("03065", "official_alias")
-    assert got["Elche/Elx", "alicante"] == ("03065", "bilingual_signature")
+    assert got["Elche/Elx", "alicante"] == ("03065", "official_bilingual_alias")
     assert got["Elx", "valencia"] == (None, "unresolved")
-    assert got["Ademuz", None] == ("46001", "global_alias")
+    assert got["Ademuz", None] == ("46001", "globally_unique_official_alias")
     assert got["x", "alicante"] == ("03065", "validated_source_identifier")
     assert got["", "alicante"] == (None, "missing")
     assert got[None, None] == (None, "missing")
 
 
 def test_html_table(spark, tmp_path):
-    (tmp_path / "a.html").write_text("<table><tr><td>no</td></tr></table><table id='t'><tr><th>Día</th><th>B</th></tr><tr><td> 1 \n x</td><td>2</td></tr></table>")
+    (tmp_path / "a.html").write_text("<table><tr><td>no</td></tr></table><table id='t'><tr></tr><tr><th>Dia</th><th>B</th></tr><tr><td> 1 \n x</td><td>2</td></tr></table>")
     got = readers.html_table(spark, str(tmp_path / "a.html"), "t", ["Día", "B"]).collect()
     assert [(r["row_ix"], r["Día"], r["B"]) for r in got] == [(1, "1 x", "2")]
     with pytest.raises(ValueError, match="ragged"):
         readers.html_rows("<table id='t'><tr><td>a</td></tr><tr><td>1</td><td>2</td></tr></table>", "t", ["a"])
+    with pytest.raises(ValueError, match="no rows"):
+        readers.html_rows("<table id='t'><tr><td>a</td></tr></table>", "t", ["a"])
     with pytest.raises(ValueError, match="header"):
         readers.html_rows("<p>", "t", ["a"])
 
