@@ -137,3 +137,26 @@ def small_ring_signature(ring: Column) -> Column:
         return F.array_min(F.transform(F.sequence(F.lit(1), F.size(r)), lambda i: F.array_join(F.slice(F.concat(r, r), i, F.size(r)), ";")))
 
     return F.least(least(open_ring), least(F.reverse(open_ring)))
+
+
+def ring_record(ring: Column) -> Column:
+    """What the structure of a ring is: positions, distinct vertices, closed, consecutive repeats, orientation."""
+    n = F.size(ring)
+    closed = (n > 0) & (F.get(ring, F.lit(0)) == F.get(ring, n - 1))
+    body = F.when(closed & (n > 1), F.slice(ring, 1, n - 1)).otherwise(ring)
+    again = F.filter(ring, lambda p, i: (i > 0) & (p == F.get(ring, i - 1)))
+    area = signed_area(ring)
+    way = F.when(n < 4, "none").when(area > 0, "counterclockwise").when(area < 0, "clockwise").otherwise("none")
+    return F.struct(n.alias("positions"), F.size(F.array_distinct(body)).alias("distinct_vertices"), F.coalesce(closed, F.lit(False)).alias("closed"), F.size(again).alias("repeats"), way.alias("orientation"))
+
+
+def representative_point(ring: Column) -> Column:
+    """A point inside a ring: the middle of the widest inner span at half its height, the first of equals; else its box's centre."""
+    box = bounds(ring)
+    y = (box["min_y"] + box["max_y"]) / 2
+    at = lambda i: F.get(ring, i)
+    crossing = lambda i: F.when((at(i - 1)["y"] > y) != (at(i)["y"] > y), at(i - 1)["x"] + (y - at(i - 1)["y"]) * (at(i)["x"] - at(i - 1)["x"]) / (at(i)["y"] - at(i - 1)["y"]))
+    xs = F.array_sort(F.array_compact(F.transform(_steps(ring), crossing)))
+    spans = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(xs) / 2).cast("int") - 1, F.lit(0))), lambda i: F.struct((F.get(xs, 2 * i + 1) - F.get(xs, 2 * i)).alias("w"), (-F.get(xs, 2 * i)).alias("left"), ((F.get(xs, 2 * i) + F.get(xs, 2 * i + 1)) / 2).alias("x")))
+    best = F.array_max(spans)
+    return F.struct(F.coalesce(best["x"], (box["min_x"] + box["max_x"]) / 2).alias("x"), y.alias("y"))

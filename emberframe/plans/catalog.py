@@ -478,4 +478,5 @@ def annual_layers(spark: SparkSession, d: str) -> DataFrame:
     return readers.annual_layers(rows)
 
 
-from . import records as _records  # noqa: E402, F401  (its queries join these)
+from . import audits as _audits  # noqa: E402, F401  (the queries of both join these)
+from . import records as _records  # noqa: E402, F401
