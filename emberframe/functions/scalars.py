@@ -183,10 +183,18 @@ def bilingual_signature(c: Column) -> Column:
     return F.when(F.size(parts) > 1, F.array_join(parts, "|"))
 
 
+def label_words(c: Column) -> Column:
+    return F.filter(F.split(F.coalesce(label(c), F.lit("")), " "), lambda x: x != "")
+
+
+def words_meet(a: Column, b: Column) -> Column:
+    """Whether two lists share a word; null if one is empty."""
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.arrays_overlap(a, b))
+
+
 def labels_meet(a: Column, b: Column) -> Column:
     """Whether two labels share a word; null if a side has none."""
-    sides = [F.filter(F.split(F.coalesce(label(c), F.lit("")), " "), lambda x: x != "") for c in (a, b)]
-    return F.when((F.size(sides[0]) > 0) & (F.size(sides[1]) > 0), F.arrays_overlap(*sides))
+    return words_meet(label_words(a), label_words(b))
 
 
 def forest_area(wooded: Column, other: Column) -> Column:
