@@ -10,7 +10,8 @@ some offset below v puts both at cover positions, so they share an aligned ancho
 
 Windows are judged on the input, not on what is left. Nothing is paired: both steps are counts over hashes. Each batch
 of documents combines its own repeats first, so a passage that a third of all documents share sends one row per batch.
-Hashes travel packed, by hash bucket; nothing is broadcast and nothing of the documents reaches the driver.
+Hashes travel packed, by hash bucket, and a large bucket is ordered in parts, so that a task holds a bucket packed and one
+part of it open; nothing is broadcast and nothing of the documents reaches the driver.
 
 Defined results: a null text has no words. Texts of fewer than ``length`` words stay whole. Rows that repeat a doc_id
 with the same text are one document and are treated alike; a row without doc_id can't be ordered, stays whole and
@@ -38,6 +39,8 @@ PERIOD, COVER = 13, (0, 1, 3, 9)
 PACKED = "p int, kind int, data binary"
 FOUND = "doc_id long, data binary"
 MANY = 400_000
+#: Places of one bucket that are ordered at once; a bucket of more is gone through several times, a part of its keys each.
+AT_ONCE = 2_000_000
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -46,8 +49,12 @@ def _pack(*columns: np.ndarray) -> bytes:
     return head + zstandard.compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns), 1)
 
 
+def _length(data: bytes) -> int:
+    return int(np.frombuffer(data[:8], np.int64)[0])
+
+
 def _unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
-    n = int(np.frombuffer(data[:8], np.int64)[0])
+    n = _length(data)
     raw, at, out = zstandard.decompress(data[8:]), 0, []
     for kind in kinds:
         size = n * np.dtype(kind).itemsize
@@ -202,13 +209,21 @@ def _settled(two: bool) -> Callable:
     """One bucket at a time: which of the places sent belong to keys with more than one place (two: and are not the first)."""
     kinds = [np.uint32, np.uint16, *([np.uint16, np.uint32] if two else []), np.int64, np.uint32, np.bool_]
 
+    def part(blocks: list[bytes], i: int, parts: int) -> Iterator[list[np.ndarray]]:
+        for b in blocks:
+            columns = _opened(b, kinds)
+            here = columns[0] % np.uint32(parts) == i
+            yield columns if parts == 1 else [c[here] for c in columns]
+
     def found(blocks: list[bytes]) -> Iterator[dict]:
-        columns = [np.concatenate(c) for c in zip(*(_opened(b, kinds) for b in blocks), strict=True)]
-        *keys, doc, start, marked = columns
-        first, many = _first_of(keys, doc, start)
-        take = (many & ~first) if two else (many | marked)
-        for doc_id, places in _by_document(doc[take], start[take].astype(np.int64)):
-            yield {"doc_id": doc_id, "data": places}
+        parts = -(-sum(_length(b) for b in blocks) // AT_ONCE)
+        for i in range(parts):
+            columns = [np.concatenate(c) for c in zip(*part(blocks, i, parts), strict=True)]
+            *keys, doc, start, marked = columns
+            first, many = _first_of(keys, doc, start)
+            take = (many & ~first) if two else (many | marked)
+            for doc_id, places in _by_document(doc[take], start[take].astype(np.int64)):
+                yield {"doc_id": doc_id, "data": places}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         now, blocks = None, []

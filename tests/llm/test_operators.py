@@ -110,6 +110,16 @@ def test_substring_dedup(spark):
     assert substring_dedup.digests(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_substring_dedup_in_parts(spark, monkeypatch):
+    """Buckets of more places than are ordered at once."""
+    monkeypatch.setattr(substring_dedup, "AT_ONCE", 7)
+    rng = random.Random(6)
+    passages = [words(n, 90 + n) for n in (20, 30, 70)]
+    rows = [(i, " ".join(rng.choice([words(15, 2000 + i), *passages]) for _ in range(4))) for i in range(60)]
+    got = {r.doc_id: tuple(r)[1:] for r in substring_dedup.digests(docs_of(spark, rows)).collect()}
+    assert got == brute(rows)
+
+
 # --- near dedup
 
 
