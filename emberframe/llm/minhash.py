@@ -52,6 +52,8 @@ FINE_ROWS, FINE_BANDS = 8, 100
 #: A tile holds two blocks of about so many members and so many bytes of sets each.
 TILE, TILE_BYTES = 4096, 8 << 20
 SALTS = 32
+#: Classes of more rows than HOT are salted; at most so many of them, the largest, as a class beyond has a small part of all.
+HOT, HOT_CLASSES = 10_000, 1000
 #: Pairs whose signatures agree in less than this part are not tested on their full sets (different minima agree in their
 #: 8 bits once in 256 times).
 AGREE = 0.63
@@ -395,13 +397,24 @@ def _members(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> D
     return member
 
 
+def _by_class(rows: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
+    """rows with the columns of found(digest, ..), which has one row per digest; rows of a hot class go to SALTS tasks."""
+    hot = classes.where(F.col("n_rows") > HOT).orderBy(F.desc("n_rows"), "digest").limit(HOT_CLASSES).select("digest", F.lit(True).alias("hot"))
+    hot = F.broadcast(hot)  # HOT_CLASSES rows at most
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    rows = rows.withColumn("any", salt).join(hot, "digest", "left").withColumn("salt", F.when(F.col("hot"), F.col("any")).otherwise(0)).drop("hot", "any")
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    found = found.join(hot, "digest", "left").withColumn("salt", F.explode(salts)).drop("hot")
+    return rows.join(found, ["digest", "salt"], "left").drop("salt")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     signed = written(signatures(docs, shingle), "minhash-signatures")
     known = signed.where("row_id is not null and n_shingles > 0")
     rows = written(signed.select("row_id", "n_shingles", "digest"), "minhash-rows")
     # documents of one digest have the same set, so the same signature
-    classes = written(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "minhash-classes")
+    classes = written(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows")), "minhash-classes")
     firsts = (F.first(c).alias(c) for c in ("n_shingles", "agree", "bands"))
     nodes = written(known.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *firsts), "minhash-nodes")
     released(signed)
@@ -413,7 +426,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         released(before)
     member = _members(docs, nodes, shingle, percent)
     found = classes.join(member, classes.rep == member.node, "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = rows.join(found, "digest", "left")
+    out = _by_class(rows, found, classes)
     alone = F.col("n_shingles") == 0
     component = F.when(F.col("row_id").isNotNull(), F.when(alone, F.col("row_id")).otherwise(F.col("component")))
     out = out.select(F.col("row_id").alias("doc_id"), "n_shingles", component.alias("component_id"))

@@ -104,3 +104,16 @@ def test_ids_that_stand_for_several_texts(spark):
     assert runs[0] == runs[1] and len(runs[0]) == len(rows)
     assert (-1, 59, -1, True) in runs[0] and (2, 59, 2, True) in runs[0]
     assert [r[2] for r in runs[0] if r[0] == 3] == [3]
+
+
+def test_hot_classes(spark, monkeypatch):
+    """Classes whose rows go to several tasks keep every row, once."""
+    monkeypatch.setattr(minhash, "HOT", 3)
+    monkeypatch.setattr(minhash, "HOT_CLASSES", 2)
+    rows = [(i, f"one two three four five {'six' if i < 9 else 'seven' if i < 15 else 'eight' if i < 20 else i}") for i in range(24)]
+    rows += [rows[0]] * 5 + [(None, rows[0][1])] * 4 + [(30, None), (31, "")]
+    got = minhash.near_duplicates(docs_of(spark, rows), 2).collect()
+    want = brute([r for r in rows if r[0] is not None], 2)
+    assert len(got) == len(rows)
+    assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in got if r.doc_id is not None)
+    assert sum(r.doc_id is None and r.component_id is None for r in got) == 4
