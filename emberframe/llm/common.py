@@ -16,6 +16,8 @@ SPACE = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: Bits of a bitmap of keys, as a power of two.
 MARKS = 25
+#: Keys of more rows than HOT are spread over SALTS tasks; at most HOT_KEYS of them, the largest.
+HOT, HOT_KEYS, SALTS = 1000, 1000, 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,6 +101,22 @@ def narrowed(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return found.where(byte.bitwiseAND(bit) != 0).select(*rows.columns)
 
 
+def hot_join(rows: DataFrame, found: DataFrame, key: str, counts: DataFrame, salt: Column, how: str = "inner") -> DataFrame:
+    """rows joined with found by key, where the rows of a hot key go to SALTS tasks instead of one.
+
+    counts(key, n_rows): how many rows a key has. Hot are the HOT_KEYS keys of most rows, if these are more than HOT; only
+    they are broadcast, so there is a bound whatever the input. A key beyond them has less than 1 / HOT_KEYS of all rows.
+    salt: a number that differs among the rows of a key, and is the same if a lost task is done again.
+    """
+    hot = counts.where(F.col("n_rows") > HOT).orderBy(F.desc("n_rows"), key).limit(HOT_KEYS).select(key, F.lit(True).alias("__hot"))
+    hot = F.broadcast(hot)
+    rows = rows.withColumn("__any", F.pmod(salt, F.lit(SALTS)).cast("int")).join(hot, key, "left")
+    rows = rows.withColumn("__salt", F.when(F.col("__hot"), F.col("__any")).otherwise(0)).drop("__hot", "__any")
+    salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    found = found.join(hot, key, "left").withColumn("__salt", F.explode(salts)).drop("__hot")
+    return rows.join(found, [key, "__salt"], how).drop("__salt")
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -3,7 +3,7 @@
 Each round first moves every larger neighbour of a node to the smallest node next to it (large-star), then does the
 same with the smaller neighbours (small-star). The edges end as one star per component around its smallest node, after
 about log2(longest path) rounds. A node's neighbours are never gathered: minima are aggregated, then joined, so a node
-with a third of all edges is combined before the shuffle and its side of the join can be split.
+with a third of all edges is combined before the shuffle and its edges are spread over several tasks in the join.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, written
+from .common import hot_join, released, written
 
 
 def _is_forest_of_stars(edges: DataFrame) -> bool:
@@ -22,8 +22,9 @@ def _is_forest_of_stars(edges: DataFrame) -> bool:
 
 
 def _star(pairs: DataFrame, hubs: DataFrame) -> DataFrame:
-    """v is tied to the hub of u, for (u, v) in pairs."""
-    return pairs.join(hubs, "u").select(F.col("v"), F.col("hub").alias("u")).where("u < v").distinct()
+    """v is tied to the hub of u, for (u, v) in pairs; hubs(u, hub, n_rows)."""
+    joined = hot_join(pairs, hubs.select("u", "hub"), "u", hubs.select("u", "n_rows"), F.xxhash64("v"))
+    return joined.select(F.col("v"), F.col("hub").alias("u")).where("u < v").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -37,12 +38,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if _is_forest_of_stars(now):
             break
         both = now.select("u", "v").union(now.select(F.col("v"), F.col("u")))
-        hubs = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("hub"))
+        hubs = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("hub"), F.count("*").alias("n_rows"))
         large = written(_star(both.where("v > u"), hubs), "large-star")
         released(now)
         # small-star: from the larger end, which also is tied to the hub itself
         down = large.select(F.col("v").alias("u"), F.col("u").alias("v"))
-        hubs = down.groupBy("u").agg(F.min("v").alias("hub"))
+        hubs = down.groupBy("u").agg(F.min("v").alias("hub"), F.count("*").alias("n_rows"))
         small = _star(down, hubs).union(hubs.select(F.col("u").alias("v"), F.col("hub").alias("u")))
         now = written(small.select("u", "v").where("u < v").distinct(), "small-star")
         released(large)

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, narrowed, released, written
+from .common import SALTS, by_value, hot_join, narrowed, released, written
 from .components import components
 from .words import U64, Hasher, mixed, series, tokenised, windows
 
@@ -51,9 +51,6 @@ MINIMA, ROWS, BANDS = 256, 4, 32
 FINE_ROWS, FINE_BANDS = 8, 100
 #: A tile holds two blocks of about so many members and so many bytes of sets each.
 TILE, TILE_BYTES = 4096, 8 << 20
-SALTS = 32
-#: Classes of more rows than HOT are salted; at most so many of them, the largest, as a class beyond has a small part of all.
-HOT, HOT_CLASSES = 10_000, 1000
 #: Pairs whose signatures agree in less than this part are not tested on their full sets (different minima agree in their
 #: 8 bits once in 256 times).
 AGREE = 0.63
@@ -162,6 +159,11 @@ def _full(docs: DataFrame, asked: DataFrame, shingle: int, fine: bool) -> DataFr
     return rows.mapInArrow(hashed, FULL).dropDuplicates(["id"])
 
 
+def _from_hubs(pairs: DataFrame, left: DataFrame) -> DataFrame:
+    """pairs(u, v) with the columns of left(u, ..); u may be paired with very many."""
+    return hot_join(pairs, left, "u", pairs.groupBy("u").agg(F.count("*").alias("n_rows")), F.xxhash64("v"))
+
+
 def _confirmed(docs: DataFrame, near: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (u, v) of documents that are linked, by their full sets; a table."""
 
@@ -178,7 +180,7 @@ def _confirmed(docs: DataFrame, near: DataFrame, pairs: DataFrame, shingle: int,
     items = written(_full(docs, asked, shingle, False).select("id", "items"), "minhash-sets")
     left = items.select(F.col("id").alias("u"), F.col("items").alias("x"))
     right = items.select(F.col("id").alias("v"), F.col("items").alias("y"))
-    full = pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y")
+    full = _from_hubs(pairs, left).join(right, "v").select("u", "v", "x", "y")
     out = written(full.mapInArrow(linked, "u long, v long"), "minhash-links")
     released(items)
     return out
@@ -198,7 +200,7 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(ok))
 
     fit = 100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")
-    return pairs.join(left, "u").join(right, "v").where(fit).select("u", "v", "au", "av").mapInArrow(run, "u long, v long")
+    return _from_hubs(pairs, left).join(right, "v").where(fit).select("u", "v", "au", "av").mapInArrow(run, "u long, v long")
 
 
 class _Groups:
@@ -336,8 +338,9 @@ def _linked(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _several(members: DataFrame, key: str) -> DataFrame:
-    """The keys that hold members of more than one component."""
-    return members.groupBy(key).agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select(key)
+    """The keys that hold members of more than one component, and n_rows."""
+    ends = F.min("component").alias("a"), F.max("component").alias("b")
+    return members.groupBy(key).agg(*ends, F.count("*").alias("n_rows")).where("a < b").select(key, "n_rows")
 
 
 def _settled(rest: DataFrame, links: DataFrame, member: DataFrame, ties: DataFrame, percent: int) -> DataFrame:
@@ -363,9 +366,10 @@ def _settled(rest: DataFrame, links: DataFrame, member: DataFrame, ties: DataFra
 def _members(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """node, component: of all nodes that are linked with another; a table. nodes(doc_id, digest, n_shingles, agree, bands)."""
     held = nodes.select("doc_id", F.explode("bands").alias("bucket"))
-    hubs = written(held.groupBy("bucket").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("last")).where("u < last").drop("last"), "minhash-hubs")
+    hubs = written(held.groupBy("bucket").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("last"), F.count("*").alias("n_rows")).where("u < last").drop("last"), "minhash-hubs")
     # almost all buckets hold one document: what follows reads only the others
-    shared = written(narrowed(held, "bucket", hubs.select("bucket")).join(hubs, "bucket"), "minhash-shared")
+    some = narrowed(held, "bucket", hubs.select("bucket"))
+    shared = written(hot_join(some, hubs.select("bucket", "u"), "bucket", hubs, F.xxhash64("doc_id")), "minhash-shared")
     released(hubs)
     asked = shared.select("doc_id").distinct()
     near = written(narrowed(nodes.drop("bands"), "doc_id", asked).join(asked, "doc_id"), "minhash-near")
@@ -377,7 +381,8 @@ def _members(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> D
     member = components(links)
     # members of coarse buckets that still hold several components
     placed = shared.join(member, shared.doc_id == member.node, "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    unclear = placed.join(_several(placed, "bucket"), "bucket").select("doc_id", "component").distinct()
+    several = _several(placed, "bucket")
+    unclear = hot_join(placed, several.select("bucket"), "bucket", several, F.xxhash64("doc_id")).select("doc_id", "component").distinct()
     unclear = written(unclear, "minhash-unclear")
     released(shared)
     if unclear.isEmpty():
@@ -388,7 +393,8 @@ def _members(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> D
     released(near, unclear)
     held = rest.select("doc_id", "component", F.explode("fine").alias("bucket"))
     several = written(_several(held, "bucket"), "minhash-fine")
-    fine = narrowed(held, "bucket", several).join(several, "bucket").join(rest.select("doc_id", "n_shingles", "agree"), "doc_id")
+    some = narrowed(held, "bucket", several.select("bucket"))
+    fine = hot_join(some, several.select("bucket"), "bucket", several, F.xxhash64("doc_id")).join(rest.select("doc_id", "n_shingles", "agree"), "doc_id")
     ties = _candidates(fine.select("bucket", "doc_id", "component", "n_shingles", "agree"), percent)
     released(several)
     if not ties.isEmpty():
@@ -397,17 +403,6 @@ def _members(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> D
     return member
 
 
-def _by_class(rows: DataFrame, found: DataFrame, classes: DataFrame) -> DataFrame:
-    """rows with the columns of found(digest, ..), which has one row per digest; rows of a hot class go to SALTS tasks."""
-    hot = classes.where(F.col("n_rows") > HOT).orderBy(F.desc("n_rows"), "digest").limit(HOT_CLASSES).select("digest", F.lit(True).alias("hot"))
-    hot = F.broadcast(hot)  # HOT_CLASSES rows at most
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
-    rows = rows.withColumn("any", salt).join(hot, "digest", "left").withColumn("salt", F.when(F.col("hot"), F.col("any")).otherwise(0)).drop("hot", "any")
-    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    found = found.join(hot, "digest", "left").withColumn("salt", F.explode(salts)).drop("hot")
-    return rows.join(found, ["digest", "salt"], "left").drop("salt")
-
-
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     signed = written(signatures(docs, shingle), "minhash-signatures")
@@ -426,7 +421,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         released(before)
     member = _members(docs, nodes, shingle, percent)
     found = classes.join(member, classes.rep == member.node, "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = _by_class(rows, found, classes)
+    # rows come from a table, so their numbers are the same in a task that is done again
+    out = hot_join(rows, found, "digest", classes.select("digest", "n_rows"), F.monotonically_increasing_id(), "left")
     alone = F.col("n_shingles") == 0
     component = F.when(F.col("row_id").isNotNull(), F.when(alone, F.col("row_id")).otherwise(F.col("component")))
     out = out.select(F.col("row_id").alias("doc_id"), "n_shingles", component.alias("component_id"))

@@ -5,7 +5,7 @@ import random
 import pytest
 from test_operators import docs_of
 
-from emberframe.llm import minhash, substring_dedup
+from emberframe.llm import common, minhash, substring_dedup
 
 #: Eight of ten word pairs shared, so a similarity of exactly 0.8; less than 0.70 of their 256 minima agree.
 PAIRS = [
@@ -106,10 +106,10 @@ def test_ids_that_stand_for_several_texts(spark):
     assert [r[2] for r in runs[0] if r[0] == 3] == [3]
 
 
-def test_hot_classes(spark, monkeypatch):
-    """Classes whose rows go to several tasks keep every row, once."""
-    monkeypatch.setattr(minhash, "HOT", 3)
-    monkeypatch.setattr(minhash, "HOT_CLASSES", 2)
+def test_hot_keys(spark, monkeypatch):
+    """Classes, buckets and hubs whose rows go to several tasks keep every row, once."""
+    monkeypatch.setattr(common, "HOT", 3)
+    monkeypatch.setattr(common, "HOT_KEYS", 2)
     rows = [(i, f"one two three four five {'six' if i < 9 else 'seven' if i < 15 else 'eight' if i < 20 else i}") for i in range(24)]
     rows += [rows[0]] * 5 + [(None, rows[0][1])] * 4 + [(30, None), (31, "")]
     got = minhash.near_duplicates(docs_of(spark, rows), 2).collect()
