@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .unicode import ascii_letters, casefolded
 
@@ -224,6 +225,24 @@ def canonical_json(*columns: str) -> Column:
     return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
 
 
+def name_ordered(c: Column, kind: T.DataType) -> Column:
+    """The same value with the fields of structs and the keys of maps in name order, at any depth."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(c.isNotNull(), F.struct(*(name_ordered(c[f.name], f.dataType).alias(f.name) for f in fields)))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: name_ordered(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(c), lambda e: F.struct(e["key"].alias("key"), name_ordered(e["value"], kind.valueType).alias("value")))
+        return F.map_from_entries(F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)))
+    return c
+
+
+def canonical_rows(rows: DataFrame) -> Column:
+    """Each row as JSON with its keys in name order at every depth, nulls written."""
+    return F.to_json(name_ordered(F.struct(*(F.col(f"`{c}`") for c in rows.columns)), rows.schema), {"ignoreNullFields": "false"})
+
+
 #: The forms of reports by first and last year.
 FORMS = [
     (1968, 1971, "historical_form_1"), (1972, 1979, "historical_form_2"), (1980, 1982, "historical_form_3"),

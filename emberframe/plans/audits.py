@@ -12,8 +12,8 @@ from ..functions import geometry as G
 from ..functions import scalars as S
 from ..functions import shapes
 from ..operators import history, linking, profiles, quality, validation, views
-from ..sources import readers
-from .catalog import POINTS, points, query, read, records
+from ..sources import readers, writers
+from .catalog import POINTS, RECORDS, points, query, read, records
 
 
 def told(v: object) -> str:
@@ -396,3 +396,24 @@ def row_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     """How many rows repeat an earlier one, lie out of range, and in all: counted by group first, no window needed."""
     per = read(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 300).alias("far"))
     return per.agg(F.sum("n").alias("n"), F.sum(F.col("n") - 1).alias("repeated"), F.sum("far").alias("far"))
+
+
+@query(f"""WITH {RECORDS}, r AS (SELECT year + (entity % 3 * 10)::INT AS year, trim(regexp_replace(lower(province), '[^a-z0-9]+', '-', 'g'), '-') AS p, entity, area FROM records),
+b AS (SELECT *, CASE WHEN year < 2000 THEN '1993-1999' ELSE (year // 10 * 10) || '-' || least(year // 10 * 10 + 9, 2024) END AS b FROM r)
+SELECT s AS strategy, CASE s WHEN 'all' THEN 'all' WHEN 'year' THEN year::VARCHAR WHEN 'temporal_blocks' THEN b WHEN 'province' THEN p ELSE p || '/' || b END AS partition, count(*) AS n, min(entity) AS first
+FROM b, unnest(['all', 'year', 'temporal_blocks', 'province', 'province_temporal_blocks']) u(s) GROUP BY 1, 2""")
+def partition_strategies(spark: SparkSession, d: str) -> DataFrame:
+    """What each strategy puts into each file."""
+    rows = records(spark, d).select((F.col("year") + (F.col("entity") % 3 * 10).cast("int")).alias("year"), "province", "entity")
+    return writers.by_strategy(rows).groupBy("strategy", "partition").agg(F.count("*").alias("n"), F.min("entity").alias("first"))
+
+
+@query("""SELECT o_orderkey, '{"a":[{"p":"' || o_orderstatus || '","q":null},null],"m":{"k1":{"x":1,"y":' || o_custkey || '},"k2":null},"z":{"b":' || o_orderkey || ',"c":"' || o_orderpriority || '"}}' AS json FROM orders""")
+def canonical_nested(spark: SparkSession, d: str) -> DataFrame:
+    """Rows as JSON whose keys are in name order at every depth, whatever the order of the columns."""
+    rows = read(spark, d, "orders").select(
+        F.struct(F.col("o_orderpriority").alias("c"), F.col("o_orderkey").alias("b")).alias("z"),
+        F.array(F.struct(F.lit(None).cast("string").alias("q"), F.col("o_orderstatus").alias("p")), F.lit(None)).alias("a"),
+        F.create_map(F.lit("k2"), F.lit(None), F.lit("k1"), F.struct(F.col("o_custkey").alias("y"), F.lit(1).alias("x"))).alias("m"),
+    )
+    return rows.select(F.col("z.b").alias("o_orderkey"), S.canonical_rows(rows).alias("json"))

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import gzip
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
+
+#: The ways in which a level is cut into files.
+STRATEGIES = ["all", "year", "temporal_blocks", "province", "province_temporal_blocks"]
+
 
 def partitioned(rows: DataFrame, path: str, by: list[str], order: list[str], kind: str = "parquet") -> None:
     """One sorted run per partition value; stale partitions are replaced. Rows of one value may take several files."""
@@ -12,6 +20,24 @@ def partitioned(rows: DataFrame, path: str, by: list[str], order: list[str], kin
     spread.write.mode("overwrite").partitionBy(*by).format(kind).save(path)
 
 
+def by_strategy(rows: DataFrame, strategies: list[str] = STRATEGIES) -> DataFrame:
+    """rows(year, province, ..) once per strategy, with strategy and partition: the name of the file that holds the row."""
+    block, province = S.temporal_block(F.col("year")), S.province_partition(F.col("province"))
+    keys = {
+        "all": F.lit("all"), "year": F.col("year").cast("string"), "temporal_blocks": block, "province": province,
+        "province_temporal_blocks": F.concat_ws("/", province, block),
+    }
+    cuts = F.array(*(F.struct(F.lit(s).alias("strategy"), keys[s].alias("partition")) for s in strategies))
+    return rows.select("*", F.inline(cuts))
+
+
+def write_strategies(rows: DataFrame, path: str, order: list[str], kinds: tuple[str, ...] = ("json", "parquet"), strategies: list[str] = STRATEGIES) -> None:
+    """rows(year, province, ..) below path/<format>, by strategy and partition, sorted by order; stale files go first."""
+    cut = by_strategy(rows, strategies)
+    for kind in kinds:
+        partitioned(cut, f"{path}/{kind}", ["strategy", "partition"], order, kind)
+
+
 def feature(ident: Column, properties: Column, kind: Column, coordinates: Column) -> Column:
     """A GeoJSON feature as text; coordinates are JSON already."""
     return F.concat(
@@ -56,8 +82,13 @@ def latest(spark, path: str) -> DataFrame:  # noqa: ANN001
 
 
 def file_metrics(files: DataFrame) -> DataFrame:
-    """name, bytes, sha256 of files(name, content) held as text."""
-    return files.select("name", F.octet_length("content").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """name, bytes, gzip_bytes (level 9, no time stamp), sha256 of files(name, content) held as text."""
+
+    @F.pandas_udf("long")
+    def packed(content: pd.Series) -> pd.Series:
+        return content.map(lambda text: len(gzip.compress(text.encode(), 9, mtime=0)))
+
+    return files.select("name", F.octet_length("content").alias("bytes"), packed("content").alias("gzip_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def provenance(rows: DataFrame, key: str, value: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Scalar and shape functions on small cases of their own."""
 
+import gzip
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -124,3 +126,23 @@ def test_snapshots_and_manifest(spark, tmp_path):
     (tmp_path / "f.txt").write_text("abc")
     row = readers.file_manifest(spark, str(tmp_path / "f.txt")).first()
     assert (row["bytes"], row["sha256"][:8]) == (3, "ba7816bf")
+
+
+def test_strategies_are_written(spark, tmp_path):
+    path = str(tmp_path / "level")
+    stale = spark.createDataFrame([(1994, "Elx", 9)], "year int, province string, id int")
+    rows = spark.createDataFrame([(1994, "Castelló", 3), (1999, "València", 1), (2026, "Castellón", 2)], "year int, province string, id int")
+    for some in (stale, rows):
+        writers.write_strategies(some, path, ["id"])
+    for kind in ("json", "parquet"):
+        got = {(r.strategy, str(r.partition)): r.n for r in spark.read.format(kind).load(f"{path}/{kind}").groupBy("strategy", "partition").count().withColumnRenamed("count", "n").collect()}
+        assert got["all", "all"] == 3 and got["year", "2026"] == 1 and got["temporal_blocks", "1993-1999"] == 2
+        assert got["province", "castellon"] == got["province", "castello"] == 1
+        assert sum(n for (s, _), n in got.items() if s == "province_temporal_blocks") == 3
+        assert not any("elx" in p for _, p in got)
+
+
+def test_file_metrics(spark):
+    text = "abc\n" * 500
+    row = writers.file_metrics(spark.createDataFrame([("f", text)], "name string, content string")).first()
+    assert (row["bytes"], row["gzip_bytes"]) == (2000, len(gzip.compress(text.encode(), 9, mtime=0)))
