@@ -48,19 +48,16 @@ def quantiles(values: DataFrame, by: list[str], points: list[float], bins: int =
         same &= F.col(c).eqNullSafe(F.col(k))
     # a value that is itself an end comes into the bin below it, so equal values share one
     binned = counts.join(parts, same).select(*keys, "n", "value", "m", F.size(F.filter("ends", lambda e: e < F.col("value"))).alias("bin"))
-    sums = binned.groupBy(*keys, "n", "bin").agg(F.sum("m").alias("held"))
+    # approximate quantiles may differ each time they are found, so bins are found once and then told by the values they hold
+    sums = binned.groupBy(*keys, "n", "bin").agg(F.sum("m").alias("held"), F.min("value").alias("least"), F.max("value").alias("most"))
     before = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("start", F.coalesce(F.sum("held").over(before), F.lit(0)))
     ranks = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(p).alias("p"), side.cast("long").alias("rank")) for i, p in enumerate(points) for side in (F.floor(F.lit(p) * (F.col("n") - 1)), F.ceil(F.lit(p) * (F.col("n") - 1)))))
-    wanted = sums.select(*keys, "n", "bin", "start", "held", F.explode(ranks).alias("r")).where("r.rank >= start and r.rank < start + held").distinct()
-    within = Window.partitionBy(*keys, "bin").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    need = wanted.select(*(F.col(k).alias(f"w{k}") for k in keys), F.col("bin").alias("wbin"), "start").distinct()
-    at = F.col("bin") == F.col("wbin")
-    for k in keys:
-        at &= F.col(k).eqNullSafe(F.col(f"w{k}"))
-    placed = binned.join(need, at).withColumn("first", F.col("start") + F.coalesce(F.sum("m").over(within), F.lit(0))).select(*keys, "bin", "value", "m", "first")
-    asked = wanted.select(*(F.col(k).alias(f"w{k}") for k in keys), F.col("bin").alias("wbin"), "n", "r")
-    hits = placed.join(asked, at).where((F.col("r.rank") >= F.col("first")) & (F.col("r.rank") < F.col("first") + F.col("m")))
+    asked = F.filter(ranks, lambda r: (r["rank"] >= F.col("start")) & (r["rank"] < F.col("start") + F.col("held")))
+    wanted = sums.select(*keys, "n", "start", "least", "most", asked.alias("asked")).where(F.size("asked") > 0)
+    within = Window.partitionBy(*keys, "least").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.join(wanted, same & F.col("value").between(F.col("least"), F.col("most"))).withColumn("first", F.col("start") + F.coalesce(F.sum("m").over(within), F.lit(0)))
+    hits = placed.select(*keys, "n", "value", "m", "first", F.explode("asked").alias("r")).where((F.col("r.rank") >= F.col("first")) & (F.col("r.rank") < F.col("first") + F.col("m")))
     ends = hits.groupBy(*keys, "n", F.col("r.i").alias("i"), F.col("r.p").alias("p")).agg(F.min("value").alias("low"), F.max("value").alias("high"))
     place = F.col("p") * (F.col("n") - 1)
     value = F.col("low") + (F.col("high") - F.col("low")) * (place - F.floor(place))
