@@ -188,7 +188,7 @@ def near_points(spark: SparkSession, d: str) -> DataFrame:
     right = read(spark, d, "supplier").select(s.alias("k"), (s * 271 % 900).cast("double").alias("rx"), (s * 613 % 900).cast("double").alias("ry"))
     left = points(spark, d).withColumnsRenamed({"px": "x", "py": "y"})
     gap = F.sqrt(F.pow(F.col("x") - F.col("rx"), 2) + F.pow(F.col("y") - F.col("ry"), 2))
-    return linking.near_points(left, right, 80.0, gap, 80.0).select("point_id", "k", F.round("distance", 6).alias("distance"))
+    return linking.near_points(left, right, 80.0, gap, 80.0, 6).select("point_id", "k", "distance")
 
 
 # --- schemas of nested records

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from emberframe.operators import spatial
+from emberframe.operators import linking, spatial
 
 SQUARE = [(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 9.0), (0.0, 0.0)]
 
@@ -22,3 +22,19 @@ def test_points_in_polygons(spark, monkeypatch):
     got = {r.point_id: r.code for r in spatial.points_in_polygons(points, rings, 10.0).collect()}
     assert got == {i: (3, 7)[i % 3] for i in range(60) if i % 3 < 2}
     assert tested.value == 3
+
+
+def test_near_points(spark):
+    """100 points of one place near 50 of another: one distance for 5000 pairs."""
+    left = spark.range(100).selectExpr("id", "0D as x", "0D as y")
+    right = spark.range(50).selectExpr("id as k", "3D as rx", "4D as ry")
+    found = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def gap(x, y, rx, ry):
+        found.add(1)
+        return ((x - rx) ** 2 + (y - ry) ** 2) ** 0.5
+
+    got = linking.near_points(left, right, 5.0, gap("x", "y", "rx", "ry"), 10.0).collect()
+    assert len({(r.id, r.k) for r in got}) == len(got) == 5000 and {r.distance for r in got} == {5.0}
+    assert found.value < 10
