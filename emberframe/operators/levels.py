@@ -15,11 +15,18 @@ def _area(rings: str):  # noqa: ANN202
 
 
 def sweep(shapes: DataFrame, tolerances: list[float]) -> DataFrame:
-    """ident, tolerance, vertices before and after, relative area error, Hausdorff distance. The tolerances are a short list."""
-    each = shapes.withColumn("tolerance", F.explode(F.array(*(F.lit(float(t)) for t in tolerances))))
+    """ident, tolerance, vertices before and after, relative area error, Hausdorff distance. The tolerances are a short list.
+
+    Equal rings are simplified once, in tasks whose number is not left to the size of the table, as Python has much work a row.
+    """
+    keyed = shapes.withColumn("key", F.sha2(F.to_json("rings"), 256))
+    tasks = 4 * shapes.sparkSession.sparkContext.defaultParallelism
+    alike = keyed.groupBy("key").agg(F.any_value("rings").alias("rings"))
+    each = alike.withColumn("tolerance", F.explode(F.array(*(F.lit(float(t)) for t in tolerances)))).repartition(tasks)
     done = each.withColumn("simple", simplify_rings("rings", "tolerance"))
     done = done.withColumns({"area": _area("rings"), "simple_area": _area("simple"), "hausdorff": hausdorff_distance("rings", "simple")})
-    return done.select("ident", "tolerance", G.vertex_count(F.col("rings")).alias("before"), G.vertex_count(F.col("simple")).alias("after"), F.try_divide(F.abs(F.col("simple_area") - F.col("area")), F.col("area")).alias("area_error"), "hausdorff", "simple", "rings")
+    found = done.select("key", "tolerance", G.vertex_count(F.col("rings")).alias("before"), G.vertex_count(F.col("simple")).alias("after"), F.try_divide(F.abs(F.col("simple_area") - F.col("area")), F.col("area")).alias("area_error"), "hausdorff", "simple", "rings")
+    return keyed.select("ident", "key").join(found, F.lit(True) & keyed["key"].eqNullSafe(found["key"])).drop("key")
 
 
 def level(shapes: DataFrame, tolerance: float, most_error: float) -> DataFrame:
