@@ -38,3 +38,16 @@ def test_near_points(spark):
     got = linking.near_points(left, right, 5.0, gap("x", "y", "rx", "ry"), 10.0).collect()
     assert len({(r.id, r.k) for r in got}) == len(got) == 5000 and {r.distance for r in got} == {5.0}
     assert found.value < 10
+
+
+def test_near_points_are_made_in_many_tasks(spark):
+    """Tables of one file each, whose pairs are many more than their rows; null places have no pair."""
+    left = spark.range(2000).selectExpr("id", "if(id = 7, null, double(id % 100)) as x", "0D as y").coalesce(1)
+    right = spark.range(300).selectExpr("id as k", "double(id % 100) as rx", "if(id = 5, null, 0D) as ry", "string(id) as name").coalesce(1)
+    gap = F.abs(F.col("x") - F.col("rx")) + F.abs(F.col("y") - F.col("ry"))
+    got = linking.near_points(left, right, 1.0, gap, 2.0).withColumn("task", F.spark_partition_id()).collect()
+    want = {(i, k) for i in range(2000) for k in range(300) if abs(i % 100 - k % 100) <= 1 and i != 7 and k != 5}
+    assert len(got) == len(want) and {(r.id, r.k) for r in got} == want and all(r.name == str(r.k) and r.distance == abs(r.x - r.rx) for r in got)
+    assert len({r.task for r in got}) > 8
+    places = linking.near_points(left, right.select("rx", "ry"), 1.0, gap, 2.0)
+    assert places.columns == ["x", "y", "id", "rx", "ry", "distance"] and places.count() == len(want)
